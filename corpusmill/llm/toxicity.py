@@ -1,7 +1,7 @@
 """Toxicity by a convolutional text classifier in numpy.
 
-A word is two table rows found by two hashes of its letters; their sum is its
-embedding. Filters over one, two and three words are followed by the maximum
+A word is three table rows, found by two hashes of its letters and one of its
+first four bytes; their sum is its embedding. Filters over one, two and three words are followed by the maximum
 over the whole text and a linear layer. A word that training saw in few
 documents keeps the zero embedding. The threshold of each language, told from
 the text's own function words, is calibrated on training rows and subtracted
@@ -24,13 +24,15 @@ from corpusmill.shared import written
 U = np.uint64
 BITS = 16
 DIM = 8
+#: Hashes of a word, and the bytes that the last of them takes.
+N_HASHES, STEM = 3, 4
 WIDTHS = (1, 2, 3)
 PER_WIDTH = 8
 #: Labelled rows of each class that training takes at most, and their words.
 MAX_ROWS, MAX_WORDS = 4000, 8_000_000
 #: Documents that must hold a word before training gives it an embedding.
 MIN_DOCS = 5
-EPOCHS = 3
+EPOCHS = 4
 # Common function words that tell the language of a text.
 FUNCTION_WORDS = {
     "en": "the of and to is that with for",
@@ -50,10 +52,13 @@ def _separators() -> np.ndarray:
 
 
 def word_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all rows, A-Z in lower case, and where each row's start."""
+    """For the words of all rows, A-Z in lower case, BITS bits of each of their hashes, and where each row's start."""
     data, at = text_bytes(column)
     begin, end, rows = words(data, at, _separators())
-    return word_hashes(data, begin, end, byte_values(True)), rows
+    values, mask = byte_values(True), U((1 << BITS) - 1)
+    whole = word_hashes(data, begin, end, values)
+    stem = word_hashes(data, begin, np.minimum(end, begin + STEM), values)
+    return whole & mask | (whole >> U(BITS) & mask) << U(BITS) | (stem & mask) << U(2 * BITS), rows
 
 
 def language(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -61,7 +66,7 @@ def language(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     known = cache().get("function words")
     if known is None:
         listed = [(w, i) for i, s in enumerate(FUNCTION_WORDS.values()) for w in s.split()]
-        ids = word_ids(pa.array([w for w, _ in listed]))[0].astype(np.uint32).astype(U)
+        ids = word_ids(pa.array([w for w, _ in listed]))[0]
         order = np.argsort(ids)
         known = cache()["function words"] = ids[order], np.array([i for _, i in listed])[order]
     at = np.minimum(np.searchsorted(known[0], hashes), len(known[0]) - 1)
@@ -72,24 +77,21 @@ def language(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.where(counts.sum(1) > 0, counts.argmax(1), len(LANGS) - 1)
 
 
-def _buckets(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = U((1 << BITS) - 1)
-    return (hashes & mask).astype(np.int64), ((hashes >> U(BITS)) & mask).astype(np.int64)
+def _buckets(ids: np.ndarray) -> list[np.ndarray]:
+    return [(ids >> U(k * BITS) & U((1 << BITS) - 1)).astype(np.int64) for k in range(N_HASHES)]
 
 
-def _padded(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both buckets of each word, with two words of zeros behind each row, and where rows start."""
+def _padded(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of each word, with two words of zeros behind each row, and where rows start."""
     n = len(rows) - 1
-    start = rows[:-1] + 2 * np.arange(n)
-    a, b = (np.full(len(hashes) + 2 * n, 1 << BITS, np.int64) for _ in range(2))
-    at = np.arange(len(hashes)) + 2 * np.repeat(np.arange(n), np.diff(rows))
-    a[at], b[at] = _buckets(hashes)
-    return a, b, start
+    out = np.full((N_HASHES, len(ids) + 2 * n), 1 << BITS, np.int64)
+    out[:, np.arange(len(ids)) + 2 * np.repeat(np.arange(n), np.diff(rows))] = _buckets(ids)
+    return out, rows[:-1] + 2 * np.arange(n)
 
 
 @dataclass
 class Model:
-    """embed: two tables; conv: by width, (width, DIM, PER_WIDTH); cut: by language."""
+    """embed: a table for each hash; conv: by width, (width, DIM, PER_WIDTH); cut: by language."""
 
     embed: np.ndarray
     conv: list[np.ndarray]
@@ -99,15 +101,16 @@ class Model:
     cut: np.ndarray
 
     def table(self) -> np.ndarray:
-        """For both hashes, each bucket's part in each filter at each of its places."""
+        """For each hash, each bucket's part in each filter at each of its places."""
         filters = np.concatenate([c[j] for c in self.conv for j in range(len(c))], axis=1)
         return (self.embed @ filters).astype(np.float32)
 
     def pooled(self, table: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The largest response of each filter in each row."""
-        a, b, start = _padded(hashes, rows)
-        part = table[0][a]
-        part += table[1][b]
+        own, start = _padded(hashes, rows)
+        part = table[0][own[0]]
+        for k in range(1, N_HASHES):
+            part += table[k][own[k]]
         best, at = [], 0
         for width in WIDTHS:
             total = part[:, at : at + PER_WIDTH].copy()
@@ -130,13 +133,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _first_embeddings(ids: list[np.ndarray], y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Log odds of each bucket in the first place, small noise in the others, zeros for what is rare."""
     size = (1 << BITS) + 1
-    embed = rng.normal(0, 0.1, (2, size, DIM)).astype(np.float32)
-    for k in range(2):
+    embed = rng.normal(0, 0.1, (N_HASHES, size, DIM)).astype(np.float32)
+    for k in range(N_HASHES):
         seen = np.zeros((2, size))
         for x, label in zip(ids, y, strict=True):
             seen[int(label), np.unique(_buckets(x)[k])] += 1
         share = (seen + 1) / (np.array([[np.sum(y == 0)], [np.sum(y == 1)]]) + 2)
-        embed[k, :, 0] = np.clip(np.log(share[1] / share[0]), -3, 6) / 2
+        embed[k, :, 0] = np.clip(np.log(share[1] / share[0]), -3, 6) / N_HASHES
         embed[k, seen.sum(0) < MIN_DOCS] = 0
         embed[k, -1] = 0
     return embed
@@ -149,25 +152,23 @@ def fit(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
     cut = np.zeros(len(LANGS))
     if len(set(y.tolist())) < 2:
         level = 4.0 if len(y) and y[0] == 1 else -4.0
-        return Model(np.zeros((2, (1 << BITS) + 1, DIM), np.float32), [np.zeros((w, DIM, PER_WIDTH), np.float32) for w in WIDTHS], np.zeros(n_filters), np.zeros(n_filters), level, cut)
+        return Model(np.zeros((N_HASHES, (1 << BITS) + 1, DIM), np.float32), [np.zeros((w, DIM, PER_WIDTH), np.float32) for w in WIDTHS], np.zeros(n_filters), np.zeros(n_filters), level, cut)
     held = rng.random(len(y)) < 0.2
     train = np.flatnonzero(~held)
     embed = _first_embeddings([ids[i] for i in train], y[train], rng)
     conv = [rng.normal(0, 0.2, (w, DIM, PER_WIDTH)).astype(np.float32) for w in WIDTHS]
     for c in conv:
         c[:, 0, : PER_WIDTH // 2] = 1.0 / len(c)
-    model = Model(embed, conv, np.full(n_filters, -1.0), np.full(n_filters, 0.2), -2.0, cut)
-    frozen = np.flatnonzero(~embed.any(axis=2).all(axis=0))
-    usable = np.ones(embed.shape[1], bool)
-    usable[frozen] = False
+    model = Model(embed, conv, np.full(n_filters, -2.5), np.full(n_filters, 0.2), -2.0, cut)
+    usable = embed.any(axis=2)
     squares: dict[str, np.ndarray] = {"out": np.full(n_filters, 1e-2), "bias": np.full(n_filters, 1e-2), "b0": np.full(1, 1e-2)}
     conv_sq = [np.full(c.shape, 1e-2, np.float32) for c in conv]
     weight = np.where(y == 1, np.sum(y == 0) / max(1, np.sum(y == 1)), 1.0) ** 0.5
     for epoch in range(EPOCHS):
         rate = 0.05 / (1 + epoch)
         for i in rng.permutation(train):
-            a, b, _ = _padded(ids[i], np.array([0, len(ids[i])]))
-            x = embed[0, a] + embed[1, b]
+            own, _ = _padded(ids[i], np.array([0, len(ids[i])]))
+            x = sum(embed[k, own[k]] for k in range(N_HASHES))
             z, where = [], []
             for c in conv:
                 w = len(c)
@@ -192,9 +193,10 @@ def fit(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
                     move = part[f] * c[:, :, f]
                     conv_sq[m][:, :, f] += grad**2
                     c[:, :, f] -= rate * grad / np.sqrt(conv_sq[m][:, :, f])
-                    for table, own in ((embed[0], a[at]), (embed[1], b[at])):
-                        ok = usable[own]
-                        table[own[ok]] -= 0.01 * move[ok]
+                    for k in range(N_HASHES):
+                        row = own[k, at]
+                        ok = usable[k, row]
+                        embed[k, row[ok]] -= 0.01 * move[ok]
     _calibrate(model, [ids[i] for i in np.flatnonzero(held)], y[held])
     return model
 
@@ -239,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     def hashed(batch: pa.RecordBatch) -> dict:
         ids, rows = word_ids(batch.column(3))
-        return {"doc_id": batch.column(0), "toxic": batch.column(1), "draw": batch.column(2), "n_words": np.diff(rows), "ids": [ids[i:j].astype(np.uint32).tobytes() for i, j in zip(rows[:-1], rows[1:], strict=True)]}
+        return {"doc_id": batch.column(0), "toxic": batch.column(1), "draw": batch.column(2), "n_words": np.diff(rows), "ids": [ids[i:j].tobytes() for i, j in zip(rows[:-1], rows[1:], strict=True)]}
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "draw", "text")
     table = written(rows.mapInArrow(arrow_map(hashed, schema), "doc_id long, toxic int, draw long, n_words long, ids binary"), "labelled")
@@ -248,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if 0 < fits < len(sizes):
         table = table.where(F.col("draw") <= sizes["draw"][fits - 1].as_py())
     got = table.orderBy("draw", "doc_id", "n_words").limit(4 * MAX_ROWS).toArrow()
-    ids = [np.frombuffer(x, np.uint32).astype(U) for x in got["ids"].to_pylist()]
+    ids = [np.frombuffer(x, U) for x in got["ids"].to_pylist()]
     return fit(ids, got["toxic"].to_numpy().astype(np.int64))
 
 
@@ -266,7 +268,6 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
         if cache().get(key, (None,))[0] is not m:
             cache()[key] = m, m.table()
         hashes, rows = word_ids(column)
-        hashes = hashes.astype(np.uint32).astype(U)
         return _sigmoid(m.logits(cache()[key][1], hashes, rows) - m.cut[language_of(column)])
 
     if keep:
@@ -294,7 +295,7 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
 
 def language_of(column: pa.Array) -> np.ndarray:
     hashes, rows = word_ids(column)
-    return language(hashes.astype(np.uint32).astype(U), rows) if len(column) else np.zeros(0, np.int64)
+    return language(hashes, rows) if len(column) else np.zeros(0, np.int64)
 
 
 def _small(batches, text):
