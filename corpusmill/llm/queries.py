@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.llm.exact_dedup import exact_duplicates
+from corpusmill.llm.pii import KINDS as PII_KINDS
+from corpusmill.llm.pii import personal_data
+from corpusmill.llm.secrets import KINDS as SECRET_KINDS
+from corpusmill.llm.secrets import secrets
+from corpusmill.llm.spans import digest
 from corpusmill.llm.toxicity import toxicity
 
 
@@ -12,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = SECRET_KINDS[:3]
+    return digest(secrets(table(spark, sf_dir, "documents")), F.filter("spans", lambda s: s["kind"].isin(*kinds)), kinds)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,9 +31,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")), F.col("base"), PII_KINDS)
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_toxicity": op8_toxicity,
+    "op10_pii": op10_pii,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
