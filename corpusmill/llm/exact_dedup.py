@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.kernels import arrow_map
 from corpusmill.shared import heavy_join, written
 
@@ -27,8 +28,6 @@ U = np.uint64
 FLUSH = 4 << 20
 #: Fingerprints in a block of the merged filter, about.
 BLOCK_ROWS = 1 << 18
-#: Bits of the broadcast bitmap (4 MB).
-BITMAP_BITS = 1 << 25
 
 
 def normal_bytes(text: str | None) -> bytes:
@@ -104,17 +103,6 @@ def repeated(prints: DataFrame, rows: int, partitions: int) -> DataFrame:
     return prints.select("fp").mapInArrow(build, "block long, remainders binary, counts binary").groupBy("block").applyInArrow(merge, "fp long, n long")
 
 
-def _bitmap(fps: DataFrame) -> bytes:
-    """Bits of the values modulo BITMAP_BITS; of a fixed size, whatever the input."""
-    bit = F.pmod(F.col("fp"), F.lit(BITMAP_BITS)) + 1
-    rows = fps.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    whole = bytearray(BITMAP_BITS // 8)
-    for r in rows:
-        at = (r["k"] - 1) * 4096
-        whole[at : at + 4096] = r["bits"]
-    return bytes(whole)
-
-
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -127,14 +115,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = written(fingerprints(docs), "prints")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(repeated(prints, prints.count(), partitions)))
+    twice = spark.sparkContext.broadcast(bitmap(repeated(prints, prints.count(), partitions), "fp"))
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("norm", pa.string())])
 
     def candidates(batch: pa.RecordBatch) -> dict | None:
-        bits = np.frombuffer(bitmap.value, np.uint8)
         fp, _, norm = _prints(batch.column(1).to_pylist())
-        at = np.array(fp, np.int64) % BITMAP_BITS
-        take = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+        take = np.flatnonzero(among(fp, twice.value))
         return {"doc_id": batch.column(0).take(pa.array(take)), "fp": [fp[i] for i in take], "norm": [norm[i].decode() for i in take]} if len(take) else None
 
     groups = (

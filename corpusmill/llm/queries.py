@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.exact_dedup import exact_duplicates
+from corpusmill.llm.near_dedup import near_duplicates
 from corpusmill.llm.pii import KINDS as PII_KINDS
 from corpusmill.llm.pii import personal_data
 from corpusmill.llm.secrets import KINDS as SECRET_KINDS
@@ -31,6 +32,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(personal_data(table(spark, sf_dir, "documents")), F.col("base"), PII_KINDS)
 
@@ -39,6 +44,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
     "op10_pii": op10_pii,
 }
 
