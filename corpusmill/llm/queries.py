@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.decontaminate import contamination
 from corpusmill.llm.exact_dedup import exact_duplicates
 from corpusmill.llm.near_dedup import near_duplicates
+from corpusmill.llm.packing import pack
 from corpusmill.llm.pii import KINDS as PII_KINDS
 from corpusmill.llm.pii import personal_data
 from corpusmill.llm.secrets import KINDS as SECRET_KINDS
@@ -26,6 +27,17 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets(table(spark, sf_dir, "documents")), F.filter("spans", lambda s: s["kind"].isin(*kinds)), kinds)
 
 
+def word_bpe_path() -> str:
+    """Where the vocabulary file of the installed tokenizer package is."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), word_bpe_path())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_substring_dedup": op7_substring_dedup,
