@@ -9,6 +9,7 @@ from corpusmill.llm.decontaminate import contamination
 from corpusmill.llm.exact_dedup import exact_duplicates
 from corpusmill.llm.near_dedup import near_duplicates
 from corpusmill.llm.packing import pack
+from corpusmill.llm.pages import extract
 from corpusmill.llm.pii import KINDS as PII_KINDS
 from corpusmill.llm.pii import personal_data
 from corpusmill.llm.secrets import KINDS as SECRET_KINDS
@@ -27,6 +28,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets(table(spark, sf_dir, "documents")), F.filter("spans", lambda s: s["kind"].isin(*kinds)), kinds)
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def word_bpe_path() -> str:
     """Where the vocabulary file of the installed tokenizer package is."""
     import public_tokenizers
@@ -65,6 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_page_text": op2_page_text,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_decontamination": op6_decontamination,
