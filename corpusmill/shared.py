@@ -57,3 +57,19 @@ def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, mo
     a = left.join(hot.drop("_hot"), keys, "inner")
     b = marked.where("_hot IS NULL").drop("_hot").join(cold, keys, "left")
     return a.unionByName(b)
+
+
+#: Rows up to which a side may be broadcast; beyond, the join is a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` of a few narrow columns, broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand Python at most ``rows`` rows of text at a time, where Spark's default would be more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
