@@ -42,14 +42,14 @@ def _prints(texts: list[str | None]) -> tuple[list[int], list[str], list[bytes]]
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and SHA-256 of each document's normalised text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())])
+    """doc_id, row_key, fingerprint and SHA-256 of each document's normalised text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64()), ("text_sha256", pa.string())])
 
     def work(batch: pa.RecordBatch) -> dict:
         fp, sha, _ = _prints(batch.column(1).to_pylist())
-        return {"doc_id": batch.column(0), "fp": fp, "text_sha256": sha}
+        return {"doc_id": batch.column(0), "row_key": batch.column(2), "fp": fp, "text_sha256": sha}
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(arrow_map(work, schema), "doc_id long, fp long, text_sha256 string")
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(arrow_map(work, schema), "doc_id long, row_key long, fp long, text_sha256 string")
 
 
 def build_filter(fps: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
@@ -104,7 +104,7 @@ def repeated(prints: DataFrame, rows: int, partitions: int) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, row_key.
 
     Null text is empty, and empty texts equal each other. Of equal texts the
     largest doc_id stays; rows that repeat that doc_id too are alike and all
@@ -132,4 +132,4 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
     joined = heavy_join(prints, written(groups, "groups"), ["fp", "text_sha256"], "group_size")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "row_key")

@@ -79,14 +79,14 @@ def node_of(values: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node and signature of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
+    """doc_id, row_key, n_shingles, node and signature of each document."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
 
     def work(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(batch.column(1))
-        return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "signature": [r.tobytes() for r in signatures(sets)]}
+        return {"doc_id": batch.column(0), "row_key": batch.column(2), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "signature": [r.tobytes() for r in signatures(sets)]}
 
-    return docs.mapInArrow(arrow_map(work, schema), "doc_id long, n_shingles long, node long, signature binary")
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(arrow_map(work, schema), "doc_id long, row_key long, n_shingles long, node long, signature binary")
 
 
 def tree_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +246,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, row_key.
 
     A text without words, null included, has an empty set and is linked with
     nothing. Rows that repeat get repeated rows; a null doc_id is linked with
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = nodes.select("node", "least", "size").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = written(placed.join(least, "component").select("node", "size", "component_id"), "classes")
-    known = heavy_join(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "node"), classes, ["node"], "size")
-    alone = drawn.where("node IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    every = known.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return every.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = heavy_join(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "row_key", "n_shingles", "node"), classes, ["node"], "size")
+    alone = drawn.where("node IS NULL OR doc_id IS NULL").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    every = known.select("doc_id", "row_key", "n_shingles", "component_id").unionByName(alone)
+    return every.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row_key")
