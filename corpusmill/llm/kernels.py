@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled together; a longer document is handled alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def cache() -> dict:
