@@ -7,7 +7,7 @@ no exchange. With each name goes its context, the span of words that its shape
 depends on. A window owns the names whose context lies inside it; where the same
 words stand elsewhere, the same names stand there. So a window of which one
 owned name occurs once in the corpus is no repeat, and only windows without such
-a name are verified: by 96 bits of hash of their words, compared over the corpus.
+a name are verified: by 80 bits of hash of their words, compared over the corpus.
 
 Nothing gathers by a passage: a partition sends each distinct name or window
 once, with whether it occurs again there, and gets back one bit for it.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.kernels import arrow_map, byte_values, chunks, mix, space_table, text_bytes, window_hashes, word_hashes, words
-from corpusmill.shared import written
+from corpusmill.shared import small_batches, written
 
 U = np.uint64
 WINDOW = 35
@@ -105,6 +105,16 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.diff(np.append(first, len(values))) > 1
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, the lowest bytes of all first: zeros stand together and compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).reshape(-1)
+
+
 def repeated_names(docs: DataFrame, bits: int) -> DataFrame:
     """Names (48 bits) that occur more than once in the corpus."""
     width = (48 - bits + 7) // 8
@@ -186,9 +196,9 @@ def _sent(docs: DataFrame, known: bytes, bits: int) -> DataFrame:
             block = (a >> U(64 - bits)).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1), len(a)]
             src = task << 32 | turn
-            step = np.diff(pos.astype(np.int32), prepend=np.int32(0))
-            rows = [(-1, src, None, None, None, keys.tobytes(), counts.tobytes(), step.tobytes(), index.tobytes())]
-            rows += [(int(block[i]), src, a[i:j].tobytes(), b[i:j].tobytes(), np.packbits(twice[i:j]).tobytes(), None, None, None, None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            step = np.diff(pos, prepend=np.int32(0))
+            rows = [(-1, src, None, None, None, keys.tobytes(), planes(counts), planes(step), planes(index))]
+            rows += [(int(block[i]), src, planes(np.diff(a[i:j], prepend=U(0))), b[i:j].tobytes(), np.packbits(twice[i:j]).tobytes(), None, None, None, None) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             for k in range(0, len(rows), 128):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[k : k + 128], strict=True), schema, strict=True)], schema=schema)
 
@@ -197,9 +207,9 @@ def _sent(docs: DataFrame, known: bytes, bits: int) -> DataFrame:
             start, row = _windows(hashes, rows, shipped.value)
             if len(start):
                 h1 = window_hashes(hashes, WINDOW)[start]
-                h2 = (window_hashes(hashes ^ U(0x3C6EF372FE94F82B), WINDOW, 0x4F1BBCDCBFA53E0B)[start] >> U(32)).astype(np.uint32)
+                h2 = (window_hashes(hashes ^ U(0x3C6EF372FE94F82B), WINDOW, 0x4F1BBCDCBFA53E0B)[start] >> U(48)).astype(np.uint16)
                 which, counts = np.unique(row, return_counts=True)
-                held.append((h1, h2, start - rows[row], chunk.column(0).to_numpy()[which], counts))
+                held.append((h1, h2, (start - rows[row]).astype(np.int32), chunk.column(0).to_numpy()[which], counts))
             if sum(len(h[0]) for h in held) >= FLUSH:
                 yield from flush()
                 held, turn = [], turn + 1
@@ -213,10 +223,10 @@ def _sent(docs: DataFrame, known: bytes, bits: int) -> DataFrame:
 def _verdicts(table: pa.Table) -> pa.Table:
     """For each sender of a block, a bit for each of its windows: whether it occurs again."""
     src = table["src"].to_pylist()
-    h1 = [np.frombuffer(x, U) for x in table["h1"].to_pylist()]
+    h1 = [np.cumsum(from_planes(x, U), dtype=U) for x in table["h1"].to_pylist()]
     many = np.array([len(x) for x in h1])
     twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(table["twice"].to_pylist(), many, strict=True)])
-    a, b = np.concatenate(h1), np.concatenate([np.frombuffer(x, np.uint32) for x in table["h2"].to_pylist()])
+    a, b = np.concatenate(h1), np.concatenate([np.frombuffer(x, np.uint16) for x in table["h2"].to_pylist()])
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
@@ -237,9 +247,9 @@ def _spans(places: pa.Table, verdicts: pa.Table) -> pa.Table:
     if places.num_rows and verdicts.num_rows:
         verdicts = verdicts.sort_by("block")
         bits = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(verdicts["bits"].to_pylist(), verdicts["n"].to_pylist(), strict=True)]).astype(bool)
-        keys, counts = np.frombuffer(places["keys"][0].as_py(), np.int64), np.frombuffer(places["counts"][0].as_py(), np.int64)
-        pos = np.cumsum(np.frombuffer(places["pos"][0].as_py(), np.int32), dtype=np.int64)
-        hit = bits[np.frombuffer(places["index"][0].as_py(), np.uint32)]
+        keys, counts = np.frombuffer(places["keys"][0].as_py(), np.int64), from_planes(places["counts"][0].as_py(), np.int64)
+        pos = np.cumsum(from_planes(places["pos"][0].as_py(), np.int32), dtype=np.int64)
+        hit = bits[from_planes(places["index"][0].as_py(), np.uint32)]
         doc, start = np.repeat(np.arange(len(keys)), counts)[hit], pos[hit]
         if len(doc):
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + WINDOW)])
@@ -272,6 +282,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     repeats. Null and empty texts have no words. Other columns take no part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.xxhash64("doc_id", "text"))
     bits = min(20, max(6, int(np.ceil(np.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))))
     known = bitmap(repeated_names(docs, bits), "name", NAME_BITS)
