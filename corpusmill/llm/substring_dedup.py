@@ -260,8 +260,8 @@ def _spans(places: pa.Table, verdicts: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], [], []), schema, strict=True)], schema=schema)
 
 
-def _kept(text: str | None, begins: bytes | None, ends: bytes | None) -> tuple[int, int, str]:
-    own = (text or "").encode().split()
+def _kept(text: bytes, begins: bytes | None, ends: bytes | None) -> tuple[int, int, str]:
+    own = text.split()
     n, gone = len(own), 0
     if begins:
         left, last = [], 0
@@ -299,20 +299,30 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         batch = batch.filter(pa.array(~among(batch.column(2).to_numpy(), touched.value)))
         if not batch.num_rows:
             return None
-        n, gone, text = zip(*[_kept(t, None, None) for t in batch.column(1).to_pylist()], strict=True)
+        n, gone, text = zip(*[_kept((t or "").encode(), None, None) for t in batch.column(1).to_pylist()], strict=True)
         return {"doc_id": batch.column(0), "n_words": n, "n_removed": gone, "text": text}
 
-    def rest(batches):
-        for chunk in chunks(batches):
-            chunk = chunk.filter(pa.array(among(chunk.column(2).to_numpy(), touched.value)))
-            if chunk.num_rows:
-                yield chunk
-
-    def cut(batch: pa.RecordBatch) -> dict:
-        n, gone, text = zip(*[_kept(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)], strict=True)
-        return {"doc_id": batch.column(0), "n_words": n, "n_removed": gone, "text": text}
+    packed = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("size", pa.int64()), ("key", pa.int64())])
+
+    def rest(batch: pa.RecordBatch) -> dict | None:
+        batch = batch.filter(pa.array(among(batch.column(2).to_numpy(), touched.value)))
+        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        return {"doc_id": batch.column(0), "packed": [pa.compress(t, "zstd", asbytes=True) for t in texts], "size": [len(t) for t in texts], "key": batch.column(2)} if texts else None
+
+    def cut(batches):
+        made, held = [], 0
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc_id, data, size, begins, ends = (batch.column(k)[at].as_py() for k in range(5))
+                n, gone, text = _kept(pa.decompress(data, size, "zstd", asbytes=True), begins, ends)
+                made.append((doc_id, n, gone, text))
+                held += len(text)
+                if held >= 1 << 20 or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+                    made, held = [], 0
 
     clean = docs.mapInArrow(arrow_map(whole, schema), kind)
-    others = docs.mapInArrow(rest, "doc_id long, text string, key long").join(spans, "key", "left").select("doc_id", "text", "begins", "ends")
-    return clean.unionByName(others.mapInArrow(arrow_map(cut, schema), kind))
+    # Texts go through the shuffle packed. The same join at every size: spans grow with the input.
+    others = docs.mapInArrow(arrow_map(rest, packed), "doc_id long, packed binary, size long, key long").join(spans.hint("merge"), "key", "left").select("doc_id", "packed", "size", "begins", "ends")
+    return clean.unionByName(others.mapInArrow(cut, kind))
 
