@@ -93,12 +93,67 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def _lower(column: str) -> str:
+    return f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, '{pattern}')"
+
+
+_ALNUM, _INK = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+_CONTROLS = r"</?s>|\[/?(?:TEXT|INST|IMAGE|AUDIO|DOCUMENT)\]"
+
+
+def _escaped_length(x: str) -> str:
+    return f"(length({x}) + length({x}) - length(replace({x}, '\\', '')) + len(regexp_extract_all({x}, '{_CONTROLS}')))"
+
 
 ORACLE_SQL = {
+    "op4_chat_format": f"""
+        WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '{HOSTILE_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE_TEXT}'),
+             g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text) AS whole,
+                   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+                   CAST(sum(13 + {_escaped_length("role")} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
     "op5_exact_dedup": f"""
-        WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
+        WITH d AS (SELECT doc_id, {_lower("text")} AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM d JOIN g USING (t)""",
+    "op6_decontamination": f"""
+        WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_words(_lower("text"), _ALNUM)} AS w FROM benchmark),
+             bk AS (SELECT *, least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+             bw AS MATERIALIZED (SELECT DISTINCT item_id, k, array_to_string(w[s + 1 : s + k], ' ') AS g FROM (SELECT *, unnest(generate_series(0, len(w) - k)) AS s FROM bk)),
+             d AS (SELECT doc_id, {_words(_lower("text"), _ALNUM)} AS w FROM documents),
+             dk AS (SELECT doc_id, w, k FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k),
+             dw AS (SELECT doc_id, k, s, array_to_string(w[s + 1 : s + k], ' ') AS g FROM (SELECT *, unnest(generate_series(0, len(w) - k)) AS s FROM dk)),
+             hit AS MATERIALIZED (SELECT doc_id, item_id, s, k FROM dw JOIN bw USING (k, g)),
+             pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, s + unnest(range(k)) AS p FROM hit) GROUP BY doc_id),
+             item AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_words("coalesce(text, '')", _INK)} AS w FROM documents),
+             win AS MATERIALIZED (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 35], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) - 35)) AS s FROM d WHERE len(w) >= 35)),
+             rep AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+             gone AS (SELECT DISTINCT doc_id, s + unnest(range(35)) AS p FROM win JOIN rep USING (h)),
+             word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+             kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
+    "op9_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_words(_lower("text"), _INK)} AS w FROM documents),
+             k AS (SELECT doc_id, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0),
+             sh AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[s + 1 : s + k], ' ')) AS g FROM (SELECT doc_id, w, k, unnest(generate_series(0, len(w) - k)) AS s FROM k)),
+             n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+             met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+             e AS MATERIALIZED (SELECT a, b FROM met JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 75 * (na.n + nb.n - x)),
+             s AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+             r AS (SELECT a AS x, b AS y FROM s UNION SELECT r.x, s.b FROM r JOIN s ON s.a = r.y),
+             c AS (SELECT x AS doc_id, min(y) AS m FROM r GROUP BY x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.m, d.doc_id) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
