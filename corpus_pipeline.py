@@ -7,6 +7,8 @@ they are few, and joined by a shuffle otherwise.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,16 @@ def _key() -> F.Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+def _new_name() -> str:
+    """A column name that no table has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` but those whose key is among ``keys`` (row_key)."""
-    gone = small(keys.select(F.col("row_key").alias("_gone")).distinct())
-    return docs.join(gone, _key() == F.col("_gone"), "left_anti")
+    name = _new_name()
+    gone = small(keys.select(F.col("row_key").alias(name)).distinct())
+    return docs.join(gone, _key() == F.col(name), "left_anti")
 
 
 def _one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -37,8 +45,9 @@ def _one_of_each(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     out = _without(docs, gone.unionByName(again))
     if again.isEmpty():
         return out
-    repeated = docs.join(small(again.select(F.col("row_key").alias("_again"))), _key() == F.col("_again"), "left_semi")
-    return out.unionByName(repeated.withColumn("_key", _key()).dropDuplicates(["_key"]).drop("_key"))
+    name = _new_name()
+    repeated = docs.join(small(again.select(F.col("row_key").alias(name))), _key() == F.col(name), "left_semi")
+    return out.unionByName(repeated.withColumn(name, _key()).dropDuplicates([name]).drop(name))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

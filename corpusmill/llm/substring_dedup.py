@@ -107,7 +107,7 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def planes(values: np.ndarray) -> bytes:
     """Integers byte by byte, the lowest bytes of all first: zeros stand together and compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
 def from_planes(data: bytes, kind: type) -> np.ndarray:

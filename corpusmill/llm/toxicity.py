@@ -154,7 +154,9 @@ def fit(ids: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
         level = 4.0 if len(y) and y[0] == 1 else -4.0
         return Model(np.zeros((N_HASHES, (1 << BITS) + 1, DIM), np.float32), [np.zeros((w, DIM, PER_WIDTH), np.float32) for w in WIDTHS], np.zeros(n_filters), np.zeros(n_filters), level, cut)
     held = rng.random(len(y)) < 0.2
-    train = np.flatnonzero(~held)
+    train = np.flatnonzero(~held & (np.array([len(x) for x in ids]) > 0))
+    if not len(train):
+        held[:] = True
     embed = _first_embeddings([ids[i] for i in train], y[train], rng)
     conv = [rng.normal(0, 0.2, (w, DIM, PER_WIDTH)).astype(np.float32) for w in WIDTHS]
     for c in conv:
