@@ -25,20 +25,22 @@ from corpusmill.llm.kernels import arrow_map
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-NEVER = frozenset("nav footer aside form head script style select option button textarea label fieldset dialog menu object applet audio video canvas map iframe noscript template svg math title".split())
+NEVER = frozenset("nav footer aside head script style select option button textarea label fieldset dialog menu object applet audio video canvas map iframe noscript template svg math title".split())
 HOLDERS = frozenset("html body div section article main td tr tbody table center span font".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 # Words in class and id that mark what is not the article.
 MARKS = frozenset(
-    """ad ads adbox adslot adsense advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner
-    nav navbar navigation menu submenu topbar toolbar breadcrumb breadcrumbs masthead footer bottombar sidebar sidebars sidenav rail
-    cookie cookies consent gdpr notice notices notification alert popup overlay modal paywall newsletter subscribe subscription signup login
-    comment comments commentlist disqus discussion reply replies respond
+    """ad ads adv adbox adslot adsense adsbygoogle googleads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion promoted banner banners taboola outbrain
+    nav navbar navigation menu submenu topbar toolbar breadcrumb breadcrumbs masthead header footer bottombar sidebar sidebars sidenav aside rail
+    cookie cookies consent gdpr notice notices notification announcement alert popup overlay modal paywall newsletter subscribe subscription signup login
     share sharing social related recommended recommendations widget widgets pagination pager search copyright disclaimer skip""".split()
 )
-LAYOUT = frozenset("with has no without".split())
+READERS = frozenset("comment comments commentlist disqus discussion reply replies respond reactions".split())
+LAYOUT = frozenset("with has no without free".split())
+#: A header of one of these is the article's own.
+OWN = frozenset("article post entry story content".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.\-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -56,24 +58,29 @@ class Element:
     parent: int
     path: str
     out: bool = False
-    marked: bool = False
+    marked: str = ""
     children: list[int] = field(default_factory=list)
 
 
-def _is_marked(attributes: str) -> bool:
-    """Whether role, class, id or style say that the element is not the article."""
+def _mark(attributes: str) -> str:
+    """What role, class, id and style say: "hidden", "readers", "other" (not the article), or nothing."""
+    said = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
+            return "hidden"
+        if name == "role" and value.lower() in ROLES:
+            said = said or "other"
         if name in ("class", "id"):
             for word in value.split():
-                parts = [p.lower() for p in _PART.findall(word)]
-                if not LAYOUT & set(parts) and MARKS & set(parts):
-                    return True
-    return False
+                parts = {p.lower() for p in _PART.findall(word)}
+                if parts & LAYOUT:
+                    continue
+                if parts & READERS:
+                    said = "readers"
+                elif parts & MARKS and not ("header" in parts and parts & OWN):
+                    said = said or "other"
+    return said
 
 
 class Page:
@@ -127,7 +134,11 @@ class Page:
         up = self.elements[open_[-1]]
         inside = up.path.split("/")
         out = up.out or tag in NEVER or tag == "header" and not {"article", "main"} & set(inside)
-        marked = tag not in ("html", "body", "main", "article") and bool(attributes) and _is_marked(attributes)
+        marked = _mark(attributes) if attributes and tag not in ("html", "body", "main") else ""
+        if tag == "article" and marked == "other":
+            marked = ""
+        if tag == "form":
+            marked = marked or "other"
         self.elements.append(Element(tag, open_[-1], f"{up.path}/{tag}", out, marked))
         up.children.append(len(self.elements) - 1)
         if tag in RAW:
@@ -182,14 +193,18 @@ def _within(page: Page) -> list[range]:
     return [range(k, e + 1) for k, e in enumerate(last)]
 
 
+def _is_article(e: Element) -> bool:
+    return e.tag in ("article", "main", "h1") and not e.marked and not e.out
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, one a line; empty if there is none."""
     page = Page(source or "")
     under = _within(page)
     for k, e in enumerate(page.elements[1:], 1):
         e.out |= page.elements[e.parent].out
-        if e.marked and not any(page.elements[i].tag in ("article", "main") for i in under[k]):
-            e.out = True
+        # What wraps the article is not what its name says; readers' comments may be articles to the page.
+        e.out |= bool(e.marked) and (e.marked != "other" or not any(_is_article(page.elements[i]) for i in under[k]))
     texts = [t for t in page.texts if not page.elements[t[0]].out]
     weight = np.array([len(t[2].strip()) for t in texts], float)
     if not weight.sum():

@@ -11,6 +11,7 @@ disguise are not rewritten, as the transducers would copy them.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +42,21 @@ SPELLED = {
 #: Spelled digits in a row that are read as a number.
 MIN_SPELLED = 4
 
-_LOOKALIKE = {a: b for src, dst in (CYRILLIC, GREEK, OTHERS) for a, b in zip(src, dst, strict=True)} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {c: "" for c in INVISIBLE}
+#: What compatibility forms (full-width, bold, circled and others) stand for, by Unicode's own tables.
+_FORMS = {chr(i): n for i in (*range(0x80, 0x3400), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800)) if len(n := unicodedata.normalize("NFKC", chr(i))) == 1 and n.isascii() and (n.isalnum() or n in "@.+-_")}
+_LOOKALIKE = _FORMS | {a: b for src, dst in (CYRILLIC, GREEK, OTHERS) for a, b in zip(src, dst, strict=True)} | {c: "" for c in INVISIBLE}
 _LOOKS = re.compile("[" + re.escape("".join(_LOOKALIKE)) + "]")
+#: The same in two parts, of which each is a fast search.
+_LOW_LOOKS, _HIGH_LOOKS = re.compile("[" + re.escape("".join(c for c in _LOOKALIKE if c < "\U00010000")) + "]"), re.compile("[\U0001d400-\U0001d7ff]")
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DIGITS = re.compile(rf"(?<![^\W_])(?:plus[\s\-]+)?(?:(?:{_NUMBER}|[0-9])[\s,\-]+){{{MIN_SPELLED - 1},}}(?:{_NUMBER}|[0-9])(?![^\W_])", re.IGNORECASE)
 _DIGIT = re.compile(rf"plus|{_NUMBER}|[0-9]", re.IGNORECASE)
-_AT = r"\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+|_at_"
+_AT = r"\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+|_at_|\s+@\s*|@\s+"
 _DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|_dot_"
 _MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?P<at>@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 _NUMBERS = re.compile(rf"[0-9]+(?:(?:\.|{_DOT})[0-9]+){{3}}", re.IGNORECASE)
 _JOINT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-_BRACKETS = re.compile(r"[\[({<]\s*(?:\.|@|at|arroba|arobase)\s*[\])}>]", re.IGNORECASE)
+_BRACKETS = re.compile(r"[\[({<]\s*(?:\.|@|at|arroba|arobase)\s*[\])}>]|\s@|@\s", re.IGNORECASE)
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
 
 
@@ -160,8 +165,8 @@ def disguised(text: str, spelled: bool | None = None, stop: bool | None = None)
     """
     if spelled is None or stop is None:
         spelled, stop = (bool(x[0]) for x in signs(pa.array([text])))
-    looks = not text.isascii() and bool(_LOOKS.search(text))
-    joints = stop or any(c in text for c in "[({<") and bool(_BRACKETS.search(text))
+    looks = not text.isascii() and bool(_LOW_LOOKS.search(text) or _HIGH_LOOKS.search(text))
+    joints = stop or any(c in text for c in "[({<@") and bool(_BRACKETS.search(text))
     if not (looks or spelled or joints):
         return []
     tape = Tape(text)

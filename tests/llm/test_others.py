@@ -33,6 +33,23 @@ def test_page_text(spark):
     assert rows(G.extract(df.limit(0))) == []
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body><form id="aspnetForm"><div id="header">Site name, here</div><div class="story"><h1>Title</h1><p>Text one, good and long enough.</p><p>Two.</p></div><div id="footer">foot</div></form></body>', "Title\nText one, good and long enough.\nTwo."),
+        (
+            '<body><div class="page-with-sidebar"><article class="post ad-free"><header class="entry-header"><h1>T</h1></header><p>Body, text. Of some length here.</p><aside>rel</aside><section id="comments">'
+            '<article class="comment"><p>I like this very much, thank you all for it. Great, great, great.</p></article></section></article><div role="alert">Warning, now</div></div></body>',
+            "T\nBody, text. Of some length here.",
+        ),
+        ("<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><h1>Head</h1><p>The article, in a table. It has text.</p><p>More of it, here.</p></td></tr></table>", "Head\nThe article, in a table. It has text.\nMore of it, here."),
+        ("<body><div><a href=1>One</a> | <a href=2>Two</a> | <a href=3>Three</a></div><div><p>The article text, long enough to count, really.</p><p>And more of it. Yes.</p></div></body>", "The article text, long enough to count, really.\nAnd more of it. Yes."),
+    ],
+)
+def test_page_shapes(page, want):
+    assert G.main_text(page) == want
+
+
 def test_page_paths():
     page = G.Page("<div><p>A long text, with marks. And more, of it.</p><a>x</a></div>")
     assert G.content_nodes(page, page.texts).tolist() == [True, True] or G.content_nodes(page, page.texts)[0]

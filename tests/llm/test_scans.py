@@ -79,6 +79,9 @@ def test_identifiers():
         ("a 192[.]168[.]1[.]20 b", "ip", "192[.]168[.]1[.]20"),
         ("call plus one five five five one two three four five six seven now", "phone", "plus one five five five one two three four five six seven"),
         ("card four one one one 1 1 1 1 1 1 1 1 1 1 1 1 end", "card", "four one one one 1 1 1 1 1 1 1 1 1 1 1 1"),
+        ("𝐣𝐨𝐡𝐧@example.com", "email", "𝐣𝐨𝐡𝐧@example.com"),
+        ("to john @ example.com now", "email", "john @ example.com"),
+        ("john_at_example_dot_com", "email", "john_at_example_dot_com"),
         ("4111​1111 1111 1111", "card", "4111​1111 1111 1111"),
     ],
 )
