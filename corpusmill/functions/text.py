@@ -40,9 +40,15 @@ def words(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared words over all words; 1 for two empty texts, 0 for one."""
-    x, y = words(F.coalesce(a, F.lit(""))), words(F.coalesce(b, F.lit("")))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    """Shared words over all words; 1 for two empty texts, 0 for one. Each text is split once."""
+
+    def share(s: Column) -> Column:
+        shared = F.size(F.array_intersect(s["x"], s["y"]))
+        every = F.size(s["x"]) + F.size(s["y"]) - shared
+        return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
+
+    sets = F.struct(words(F.coalesce(a, F.lit(""))).alias("x"), words(F.coalesce(b, F.lit(""))).alias("y"))
+    return F.element_at(F.transform(F.array(sets), share), 1)
 
 
 def preview(c: Column, n: int = 200) -> Column:
