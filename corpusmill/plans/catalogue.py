@@ -400,21 +400,21 @@ def _sql_prompt(strategy: str, **values: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def _prompt_query(name: str, strategy: str, values: dict[str, str], columns: dict) -> None:
+def _prompt_query(name: str, strategy: str, values: dict[str, str], columns: Callable[[], dict]) -> None:
     def run(spark, sf):
         df = ds(spark, sf)
-        return df.select("ord", F.md5(PromptRenderer(TASK).render(strategy, F.col("language"), F.col("label"), **columns).cast("binary")).alias("prompt_md5"))
+        return df.select("ord", F.md5(PromptRenderer(TASK).render(strategy, F.col("language"), F.col("label"), **columns()).cast("binary")).alias("prompt_md5"))
 
     QUERIES[name] = run
     ORACLE_SQL[name] = f"WITH {DS} SELECT ord, md5({_sql_prompt(strategy, language='language', **values)}) AS prompt_md5 FROM ds"
 
 
-_prompt_query("prompt_direct", "direct", {"topic": "CASE WHEN ord % 2 = 0 THEN 'traffic' ELSE 'any relevant topic' END"}, {"topic": F.expr("CASE WHEN ord % 2 = 0 THEN 'traffic' END")})
-_prompt_query("prompt_paraphrase", "paraphrase", {"text": "text"}, {"text": F.col("text")})
-_prompt_query("prompt_contrastive", "contrastive", {"topic": "'films'"}, {"topic": "films"})
-_prompt_query("prompt_judge", "judge", {"text": "text"}, {"text": F.col("text")})
-_prompt_query("prompt_rag", "rag_qa", {"chunk": "text", "num_samples": "'3'"}, {"chunk": F.col("text"), "num_samples": 3})
-_prompt_query("prompt_restyle", "templated_generation", {"text": "text", "source_topic": "'cars'", "target_topic": "'gardens'", "style": "'short'", "num_samples": "'2'"}, {"text": F.col("text"), "source_topic": "cars", "target_topic": "gardens", "style": "short", "num_samples": 2})
+_prompt_query("prompt_direct", "direct", {"topic": "CASE WHEN ord % 2 = 0 THEN 'traffic' ELSE 'any relevant topic' END"}, lambda: {"topic": F.expr("CASE WHEN ord % 2 = 0 THEN 'traffic' END")})
+_prompt_query("prompt_paraphrase", "paraphrase", {"text": "text"}, lambda: {"text": F.col("text")})
+_prompt_query("prompt_contrastive", "contrastive", {"topic": "'films'"}, lambda: {"topic": "films"})
+_prompt_query("prompt_judge", "judge", {"text": "text"}, lambda: {"text": F.col("text")})
+_prompt_query("prompt_rag", "rag_qa", {"chunk": "text", "num_samples": "'3'"}, lambda: {"chunk": F.col("text"), "num_samples": 3})
+_prompt_query("prompt_restyle", "templated_generation", {"text": "text", "source_topic": "'cars'", "target_topic": "'gardens'", "style": "'short'", "num_samples": "'2'"}, lambda: {"text": F.col("text"), "source_topic": "cars", "target_topic": "gardens", "style": "short", "num_samples": 2})
 
 # --- strategies, with backends that are expressions
 
