@@ -11,6 +11,11 @@ chance of 5e-6.
 Links are confirmed on full sets: first along one order, which sends each set
 once and settles most of every dense region; then for each candidate pair whose
 ends that left in different components.
+
+Nodes of a crowded region, where neighbours are not all there is, are compared
+without such a bound too: two similar sets share one of their rarest shingles, so
+nodes of different components that share one are confirmed as well. Rarity is
+read from a sketch of counts of fixed size; it only orders the shingles.
 """
 
 from __future__ import annotations
@@ -31,6 +36,12 @@ SHINGLE = 5
 TREES, MIN_DEPTH, DEPTH = 32, 4, 8
 #: Neighbours in a sorted order that a node is compared with, before it.
 REACH = 4
+#: Rows at a partition's border, and rows whose span makes a region crowded.
+EDGE = REACH + 1
+#: Sets that a set is compared with along an order, and the shingles they may have together.
+HELD, HELD_ITEMS = 32, 1 << 20
+#: Counters of the sketch of shingle counts (4 MB).
+COUNTERS = 1 << 20
 #: A link has PERCENT * |union| <= 100 * |intersection|.
 PERCENT = 75
 
@@ -115,10 +126,10 @@ def _forest(nodes: DataFrame) -> DataFrame:
 
 
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Pairs of neighbours in each sorted partition, and the rows at its borders.
+    """Pairs of neighbours in each sorted partition, crowded nodes, and the rows at its borders.
 
-    A pair has border null. A border row has its node in a and its place in
-    border: 0.. from the front, -1.. from the back, with its head in b.
+    A pair has border null, a crowded node b too. A border row has its node in a
+    and its place in border: 0.. from the front, -1.. from the back, its head in b.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("border", pa.int32())])
 
@@ -130,14 +141,14 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
 
         def rows(a, b, border=None):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([part if border is not None else None] * n, pa.int32()), pa.array(border if border is not None else [None] * n, pa.int32())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array([part if border is not None else None] * n, pa.int32()), pa.array(border if border is not None else [None] * n, pa.int32())], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             head, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            if front < REACH:
-                n = min(REACH - front, len(head))
+            if front < EDGE:
+                n = min(EDGE - front, len(head))
                 yield rows(node[:n], head[:n], list(range(front, front + n)))
                 front += n
             seen = len(tail_head)
@@ -147,6 +158,13 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
                 same = np.flatnonzero(head[d:] == head[:-d])
                 same = same[same + d >= seen]
                 pairs.append(np.stack([node[same], node[same + d]]))
+            same = np.flatnonzero(head[EDGE:] == head[:-EDGE])
+            same = same[same + EDGE >= seen]
+            if len(same):
+                crowded = np.zeros(len(head), bool)
+                for d in range(EDGE + 1):
+                    crowded[same + d] = True
+                yield rows(node[crowded], None)
             run = np.maximum.accumulate(np.where(np.concatenate([[True], head[1:] != head[:-1]]), np.arange(len(head)), 0))
             lead = node[run]
             if first is not None:
@@ -157,16 +175,16 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
             both = both[:, both[0] != both[1]]
             if both.shape[1]:
                 yield rows(both.min(0), both.max(0))
-            tail_head, tail_node = head[-REACH:], node[-REACH:]
+            tail_head, tail_node = head[-EDGE:], node[-EDGE:]
         if len(tail_head):
             yield rows(tail_node, tail_head, [-k for k in range(len(tail_head), 0, -1)])
 
     return sorted_rows.mapInArrow(work, "a long, b long, part int, border int")
 
 
-def border_pairs(rows: list[tuple[int, int, int, int]]) -> set[tuple[int, int]]:
-    """Pairs across partitions, of rows (part, border, head, node)."""
-    out, last, lead = set(), [], {}
+def border_pairs(rows: list[tuple[int, int, int, int]]) -> tuple[set[tuple[int, int]], set[int]]:
+    """Pairs across partitions and crowded nodes at their borders, of rows (part, border, head, node)."""
+    out, crowded, last, lead = set(), set(), [], {}
     for part in sorted({r[0] for r in rows}):
         own = sorted((r[1], r[2], r[3]) for r in rows if r[0] == part)
         front, back = [r[1:] for r in own if r[0] >= 0], [r[1:] for r in own if r[0] < 0]
@@ -175,9 +193,61 @@ def border_pairs(rows: list[tuple[int, int, int, int]]) -> set[tuple[int, int]]:
         for head, node in front[:1]:
             if head in lead and lead[head] != node:
                 out.add((min(node, lead[head]), max(node, lead[head])))
+            across = {o for h, o in last + front if h == head}
+            if any(h == head for h, _ in last) and len(across) >= REACH:
+                crowded |= across
         lead = {front[0][0]: lead.get(front[0][0], front[0][1])} if front and back[-1][0] == front[0][0] else {h: n for h, n in back[-1:]}
-        last = (last + back)[-REACH:]
-    return out
+        last = (last + back)[-EDGE:]
+    return out, crowded
+
+
+def _sketch(sets: DataFrame) -> bytes:
+    """How often shingles occur, by hash: COUNTERS counts of 32 bits, summed over partitions block by block."""
+    size = 1 << 14
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for items in batch.column(0).to_pylist():
+                np.add.at(total, np.frombuffer(items, U) & U(COUNTERS - 1), 1)
+        at = [k for k in range(COUNTERS // size) if total[k * size : (k + 1) * size].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in at], pa.binary())], names=["k", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()], axis=0, dtype=np.uint32)
+        return pa.table({"k": [table["k"][0].as_py()], "counts": [total.tobytes()]})
+
+    whole = bytearray(COUNTERS * 4)
+    for r in sets.select("items").mapInArrow(count, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect():
+        whole[r["k"] * size * 4 : (r["k"] + 1) * size * 4] = r["counts"]
+    return bytes(whole)
+
+
+def _across(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may link, of sets (node, component, items): all that do are among them."""
+    shipped = sets.sparkSession.sparkContext.broadcast(_sketch(sets))
+    names = ["item", "at", "node", "component", "n"]
+
+    def rarest(batches):
+        counts = np.frombuffer(shipped.value, np.uint32)
+        for batch in batches:
+            got = []
+            for node, component, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                own = np.frombuffer(items, U)
+                n = len(own)
+                first = own[np.lexsort((own, counts[own & U(COUNTERS - 1)]))[: n - -(-PERCENT * n // 100) + 1]]
+                got.append((first.astype(np.int64), np.arange(len(first)), np.full(len(first), node), np.full(len(first), component), np.full(len(first), n)))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*got, strict=True)], names=names)
+
+    rows = written(sets.select("node", "component", "items").mapInArrow(rarest, "item long, at long, node long, component long, n long"), "rarest")
+    shared = rows.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("item")
+    met = written(rows.join(shared, "item", "left_semi"), "met")
+    x, y = (met.select("item", *[F.col(c).alias(f"{side}_{c}") for c in names[1:]]) for side in "xy")
+    # What two linked sets share at least, and where the first shared shingle must stand then.
+    least = F.floor((PERCENT * (F.col("x_n") + F.col("y_n")) + 99 + PERCENT) / (100 + PERCENT))
+    near = (F.col("x_component") < F.col("y_component")) & (F.col("x_at") <= F.col("x_n") - least) & (F.col("y_at") <= F.col("y_n") - least)
+    return x.join(y, "item").where(near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -192,9 +262,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set and a place in one order for the wanted nodes, and by chance for some others."""
+    """node, set and its places in two orders for the wanted nodes, and by chance for some others."""
     shipped = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "node"))
-    schema = pa.schema([("node", pa.int64()), ("place", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("items", pa.binary())])
 
     def work(batch: pa.RecordBatch) -> dict | None:
         a, b = _multipliers()
@@ -202,33 +272,50 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         own = np.array([node_of(s) for s in sets], np.int64)
         got = []
         for k in np.flatnonzero(among(own, shipped.value)):
-            low = (mix(sets[k])[None, :] * a[:2, None] + b[:2, None] >> U(20)).min(1)
-            got.append((int(own[k]), int(low[0] << U(20) | low[1] >> U(24)) - (1 << 63), sets[k].tobytes()))
+            low = (mix(sets[k])[None, :] * a[:4, None] + b[:4, None] >> U(20)).min(1)
+            places = [int(x << U(20) | y >> U(24)) - (1 << 63) for x, y in (low[:2], low[2:])]
+            got.append((int(own[k]), *places, sets[k].tobytes()))
         return dict(zip(schema.names, zip(*got, strict=True), strict=True)) if got else None
 
-    made = docs.mapInArrow(arrow_map(work, schema), "node long, place long, items binary")
-    return made.groupBy("node").agg(F.first("place").alias("place"), F.first("items").alias("items"))
+    made = docs.mapInArrow(arrow_map(work, schema), "node long, place long, place2 long, items binary")
+    return made.groupBy("node").agg(F.first("place").alias("place"), F.first("place2").alias("place2"), F.first("items").alias("items"))
 
 
-def _along(sets: DataFrame) -> DataFrame:
-    """Confirmed links (u, v) of sets that stand near each other in the order by place."""
+def _along(sets: DataFrame, order: str) -> DataFrame:
+    """Confirmed links (u, v) of sets that stand near each other in an order.
+
+    A set meets the HELD sets before it, but none that is known to be in its
+    component: in a dense region most are, so few are compared.
+    """
 
     def work(batches):
         held: list[tuple[int, np.ndarray]] = []
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                x = above[x]
+            return x
+
         for batch in batches:
             found = []
-            for node, items in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(items, U)
+                above[node] = node
                 for other, theirs in reversed(held):
-                    if linked(own, theirs):
+                    a, b = top(node), top(other)
+                    if a != b and linked(own, theirs):
+                        above[max(a, b)] = min(a, b)
                         found.append((max(node, other), min(node, other)))
-                        break
-                held = [*held[-(2 * REACH - 1) :], (node, own)]
+                held.append((node, own))
+                while len(held) > HELD or len(held) > 1 and sum(len(x) for _, x in held) > HELD_ITEMS:
+                    held.pop(0)
+            above = {n: top(n) for n, _ in held} | {top(n): top(n) for n, _ in held}
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartitionByRange(n, "place", "node").sortWithinPartitions("place", "node").mapInArrow(work, "u long, v long")
+    return sets.select("node", "items", order).repartitionByRange(n, order, "node").sortWithinPartitions(order, "node").mapInArrow(work, "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,6 +332,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(work, "u long, v long")
 
 
+def _stars(placed: DataFrame) -> DataFrame:
+    return placed.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, row_key.
 
@@ -260,17 +351,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trees = _forest(nodes).repartitionByRange(n, "head", "rest", "node").sortWithinPartitions("head", "rest", "node")
     met = written(neighbours(trees), "neighbours")
-    # 2 * REACH rows for each partition, however many nodes there are.
+    # 2 * EDGE rows for each partition, however many nodes there are.
     border = [(r["part"], r["border"], r["b"], r["a"]) for r in met.where("border IS NOT NULL").collect()]
-    across = spark.createDataFrame(pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (zip(*sorted(border_pairs(border)), strict=True) if border_pairs(border) else ([], []))], names=["a", "b"]))
-    pairs = written(met.where("border IS NULL").select("a", "b").unionByName(across).distinct(), "pairs")
+    across, edge = border_pairs(border)
+    pair_rows = spark.createDataFrame(pa.table({"a": pa.array([x for x, _ in sorted(across)], pa.int64()), "b": pa.array([x for _, x in sorted(across)], pa.int64())}))
+    edge_rows = spark.createDataFrame(pa.table({"node": pa.array(sorted(edge), pa.int64())}))
+    pairs = written(met.where("border IS NULL AND b IS NOT NULL").select("a", "b").unionByName(pair_rows).distinct(), "pairs")
+    crowded = written(met.where("border IS NULL AND b IS NULL").select(F.col("a").alias("node")).unionByName(edge_rows).distinct(), "crowded")
     sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
-    first = components(_along(sets))
-    first = written(first, "components")
+    first = written(components(_along(sets, "place").unionByName(_along(sets, "place2"))), "components")
     left = pairs.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    stars = first.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    last = written(components(stars.unionByName(_confirmed(left, sets))), "components")
+    last = written(components(_stars(first).unionByName(_confirmed(left, sets))), "components")
+    if not crowded.isEmpty():
+        own = sets.join(crowded, "node", "left_semi").join(last, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "items")
+        rest = written(_confirmed(_across(written(own, "crowded_sets")), sets), "links")
+        if not rest.isEmpty():
+            last = written(components(_stars(last).unionByName(rest)), "components")
     placed = nodes.select("node", "least", "size").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = written(placed.join(least, "component").select("node", "size", "component_id"), "classes")

@@ -91,7 +91,26 @@ def test_near_duplicates_of_little(spark):
 
 def test_pairs_across_partitions():
     rows_ = [(0, 0, 5, 1), (0, -1, 9, 2), (1, 0, 9, 3), (1, -1, 9, 4), (2, 0, 9, 6), (2, -1, 8, 7)]
-    assert {(2, 3), (4, 6), (2, 6)} <= N.border_pairs(rows_) and N.border_pairs([]) == set()
+    pairs, crowded = N.border_pairs(rows_)
+    assert {(2, 3), (4, 6), (2, 6)} <= pairs and crowded == set() and N.border_pairs([]) == (set(), set())
+    wide = [(p, at, 9, 10 * p + k) for p in range(2) for k, at in ((1, 0), (2, 1), (1, -2), (2, -1))]
+    assert N.border_pairs(wide) == ({(a, b) for a in (1, 2) for b in (11, 12)}, {1, 2, 11, 12})
+
+
+def test_a_crowded_region_loses_no_link(spark):
+    """A large group, and texts that are linked with a single one of its members."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(120):  # texts near the base, each with a tail of its own
+        texts.append(base + [f"m{i}_{k}" for k in range(12)])
+    for i in range(0, 120, 10):  # less of the base, and the tail of one
+        texts.append(base[:92] + [f"m{i}_{k}" for k in range(12)] + [f"z{i}_{k}" for k in range(14)])
+    order = rng.sample(range(len(texts)), len(texts))
+    texts = [" ".join(texts[i]) for i in order]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(t.split() for t in texts)}
+    own = components_of(sets)
+    assert rows(N.near_duplicates(documents(spark, texts)), "doc_id", "component_id") == sorted(own.items())
 
 
 def test_components_of_a_path(spark):
