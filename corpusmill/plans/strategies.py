@@ -206,3 +206,30 @@ def restyled_one(run: Run, text: str, source_topic: str, target_topic: str, styl
     own = run.spark.createDataFrame([("0", text)], "chunk_id string, text string")
     got = restyled(run, own, source_topic, target_topic, style, 1, **options).select("text").head()
     return got[0] if got else ""
+
+
+def questions_about(run: Run, text: str, n: int, language: str = "English", **options) -> DataFrame:
+    """questions of one text."""
+    if not text.strip():
+        raise ValueError("a non-empty text is needed")
+    return questions(run, run.spark.createDataFrame([("0", text)], "chunk_id string, text string"), n, language, **options)
+
+
+def judge_of(run: Run, language: str = "en") -> Callable[[DataFrame], DataFrame]:
+    """What JudgeFilter takes: adds raw, the backend's answer about text and label."""
+
+    def judge(df: DataFrame) -> DataFrame:
+        prompt = run.prompts.render("judge", run.languages.language_name(language), F.col("label"), text=F.col("text"))
+        return run.ask(df.withColumn("prompt", prompt), temperature=0.3, response_format={"type": "json_object"})
+
+    return judge
+
+
+def translate_back_of(run: Run, language: str) -> Callable[[DataFrame], DataFrame]:
+    """What TranslationQualityFilter takes: adds back_translated, text in English."""
+
+    def translate(df: DataFrame) -> DataFrame:
+        own = df.withColumn("_from", F.lit(run.languages.iso_code(language))).withColumn("_to", F.lit("en"))
+        return run.translate(own, "text", "_from", "_to", "back_translated").drop("_from", "_to")
+
+    return translate

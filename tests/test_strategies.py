@@ -182,3 +182,25 @@ def test_stream(spark, tmp_path):
         filtered_stream(stream, FilterPipeline(SimilarityDeduplicator()))
     timed = stream.withColumn("at", F.current_timestamp())
     assert counted_stream(timed, "at").isStreaming
+
+
+def test_filters_with_backends(spark):
+    from corpusmill import FilterPipeline
+    from corpusmill.operators.filters import JudgeFilter, TranslationQualityFilter
+    from corpusmill.operators.similarity import sentence_encoder
+    from corpusmill.plans.strategies import judge_of, questions_about, translate_back_of
+
+    good = '{"realistic": true, "label_correct": true, "natural_language": true, "no_artifacts": '
+    judge = ColumnProvider(lambda p: F.when(p.contains("bad text"), F.lit(good + "false}")).otherwise(F.lit(good + "true}")))
+    run = Run(spark, TASK, judge, ColumnProvider(lambda t, a, b: F.concat(t, F.lit(" "), a)))
+    df = spark.createDataFrame([(0, "0", "a good text", 1, "a good text de"), (1, "1", "a bad text", 0, "other words")], "ord long, id string, text string, label int, english_original string")
+    kept = FilterPipeline(JudgeFilter(judge_of(run))).run(df)
+    assert [r["ord"] for r in kept.collect()] == [0] and kept.columns == df.columns
+    assert [r["ord"] for r in TranslationQualityFilter(translate_back_of(run, "de")).apply(df).collect()] == [0]
+    with pytest.raises(ValueError, match="non-empty"):
+        questions_about(run, " ", 1)
+    try:
+        import sentence_transformers  # noqa: F401
+    except ImportError:
+        with pytest.raises(ImportError, match="sentence-transformers"):
+            sentence_encoder()
