@@ -119,16 +119,20 @@ class JudgeFilter(Filter):
         return keep | (~F.col("raw").contains("{")) if self.on_unparsed == "keep" else keep
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The rows to judge and the others. The cut is found by a top-k, not by a sort of all rows."""
+        """The rows to judge and the others, cut at the k-th draw: found by counts of draws, then in one of 4096 slices."""
         if self.sample_rate >= 1:
             return df, df.limit(0)
-        k = max(1, int(df.count() * self.sample_rate))
         drawn = df.withColumn("_draw", draw(self.seed, F.col("id")))
-        last = drawn.orderBy("_draw", "id").select("_draw", "id").offset(k - 1).limit(1).collect()
-        if not last:
-            return df, df.limit(0)
-        cut = (F.col("_draw") < last[0]["_draw"]) | ((F.col("_draw") == last[0]["_draw"]) & (F.col("id") <= last[0]["id"]))
-        return drawn.where(cut).drop("_draw"), drawn.where(~cut).drop("_draw")
+        slice_ = F.shiftright("_draw", 20)
+        counts = sorted(tuple(r) for r in drawn.groupBy(slice_.alias("s")).count().collect())
+        left = max(1, int(sum(n for _, n in counts) * self.sample_rate))
+        for at, n in counts:
+            if left <= n:
+                last = drawn.where(slice_ == at).orderBy("_draw", "id").select("_draw", "id").offset(left - 1).limit(1).collect()[0]
+                cut = (F.col("_draw") < last["_draw"]) | ((F.col("_draw") == last["_draw"]) & (F.col("id") <= last["id"]))
+                return drawn.where(cut).drop("_draw"), drawn.where(~cut).drop("_draw")
+            left -= n
+        return df, df.limit(0)
 
     def apply(self, df: DataFrame) -> DataFrame:
         judged, others = self.split(df)

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusmill.config import LanguageConfig, TaskSpec
 from corpusmill.functions.arithmetic import answer_budget, label_counts
@@ -120,8 +119,8 @@ def contrastive(run: Run, language: str, n: int, **_) -> DataFrame:
     both = pairs.select("pair_id", "topic", F.posexplode("pair").alias("side", "raw_text"))
     both = both.withColumn("label", F.when(F.col("side") == 0, first).otherwise(second)).withColumn("text", clean_generated(F.col("raw_text"))).where("text <> ''")
     both = both.withColumn("ord", (2 * F.col("pair_id") + F.col("side")).cast("long"))
-    # At most n + 1 rows can be there: the plan has (n + 1) // 2 pairs.
-    cap = both.orderBy("ord").limit(n) if n % 2 else both
+    # At most n + 1 rows can be there: then no row is missing, and the last is one too many.
+    cap = both.where(F.col("ord") < n) if n % 2 and both.count() > n else both
     return _samples(run, cap, "contrast", "contrastive", language, pair_id=F.col("pair_id"), topic=F.col("topic"), label_name=_name(run, F.col("label")))
 
 
