@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import among, bitmap
-from corpusmill.llm.kernels import arrow_map
-from corpusmill.shared import heavy_join, written
+from corpusmill.llm.kernels import arrow_map, released
+from corpusmill.shared import heavy_join, small_batches, written
 
 U = np.uint64
 #: Fingerprints of a filter built at a time, in one partition.
@@ -100,7 +100,7 @@ def repeated(prints: DataFrame, rows: int, partitions: int) -> DataFrame:
         twice = many > 1
         return pa.table({"fp": (rest[twice] | high).astype(np.int64), "n": many[twice]})
 
-    return prints.select("fp").mapInArrow(build, "block long, remainders binary, counts binary").groupBy("block").applyInArrow(merge, "fp long, n long")
+    return prints.select("fp").mapInArrow(released(build), "block long, remainders binary, counts binary").groupBy("block").applyInArrow(merge, "fp long, n long")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -112,6 +112,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Other columns of ``docs``, whatever their names, take no part.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = written(fingerprints(docs), "prints")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,6 +5,7 @@ All sums and products are of unsigned 64-bit integers and wrap.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -21,6 +22,33 @@ def cache() -> dict:
     return sys.__dict__.setdefault("_corpusmill_cache", {})
 
 
+def kept(key: object, make: Callable[[], object]) -> object:
+    """One large thing that a worker keeps between tasks: another key takes its place."""
+    if cache().get("kept", (None,))[0] != key:
+        cache()["kept"] = None, None
+        cache()["kept"] = key, make()
+    return cache()["kept"][1]
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work``, a function for mapInArrow, after which the worker gives freed memory back.
+
+    Workers live on between tasks and stages; what their allocators hold counts
+    against the executor.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: each output bit depends on every input bit."""
     x = x ^ (x >> U(31))
@@ -127,4 +155,4 @@ def arrow_map(work: Callable[[pa.RecordBatch], dict[str, object] | None], schema
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    return run
+    return released(run)

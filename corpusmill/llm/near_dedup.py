@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.graph import components
-from corpusmill.llm.kernels import arrow_map, byte_values, mix, space_table, text_bytes, window_hashes, word_hashes, words
-from corpusmill.shared import heavy_join, written
+from corpusmill.llm.kernels import arrow_map, byte_values, mix, released, space_table, text_bytes, window_hashes, word_hashes, words
+from corpusmill.shared import heavy_join, small_batches, written
 
 U = np.uint64
 SHINGLE = 5
@@ -122,7 +122,7 @@ def _forest(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (head.ravel().astype(np.int64), rest.ravel().astype(np.int64), node)], schema=schema)
 
-    return nodes.select("node", "signature").mapInArrow(work, "head long, rest long, node long")
+    return nodes.select("node", "signature").mapInArrow(released(work), "head long, rest long, node long")
 
 
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def neighbours(sorted_rows: DataFrame) -> DataFrame:
         if len(tail_head):
             yield rows(tail_node, tail_head, [-k for k in range(len(tail_head), 0, -1)])
 
-    return sorted_rows.mapInArrow(work, "a long, b long, part int, border int")
+    return sorted_rows.mapInArrow(released(work), "a long, b long, part int, border int")
 
 
 def border_pairs(rows: list[tuple[int, int, int, int]]) -> tuple[set[tuple[int, int]], set[int]]:
@@ -218,7 +218,7 @@ def _sketch(sets: DataFrame) -> bytes:
         return pa.table({"k": [table["k"][0].as_py()], "counts": [total.tobytes()]})
 
     whole = bytearray(COUNTERS * 4)
-    for r in sets.select("items").mapInArrow(count, "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect():
+    for r in sets.select("items").mapInArrow(released(count), "k long, counts binary").groupBy("k").applyInArrow(add, "k long, counts binary").collect():
         whole[r["k"] * size * 4 : (r["k"] + 1) * size * 4] = r["counts"]
     return bytes(whole)
 
@@ -240,7 +240,7 @@ def _across(sets: DataFrame) -> DataFrame:
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*got, strict=True)], names=names)
 
-    rows = written(sets.select("node", "component", "items").mapInArrow(rarest, "item long, at long, node long, component long, n long"), "rarest")
+    rows = written(sets.select("node", "component", "items").mapInArrow(released(rarest), "item long, at long, node long, component long, n long"), "rarest")
     shared = rows.groupBy("item").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("item")
     met = written(rows.join(shared, "item", "left_semi"), "met")
     x, y = (met.select("item", *[F.col(c).alias(f"{side}_{c}") for c in names[1:]]) for side in "xy")
@@ -315,7 +315,7 @@ def _along(sets: DataFrame, order: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.select("node", "items", order).repartitionByRange(n, order, "node").sortWithinPartitions(order, "node").mapInArrow(work, "u long, v long")
+    return sets.select("node", "items", order).repartitionByRange(n, order, "node").sortWithinPartitions(order, "node").mapInArrow(released(work), "u long, v long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     own = sets.select("node", "items")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(work, "u long, v long")
+    return both.select("a", "b", "x", "y").mapInArrow(released(work), "u long, v long")
 
 
 def _stars(placed: DataFrame) -> DataFrame:
@@ -345,6 +345,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whatever their names.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     drawn = written(sketches(docs), "sketches")
     nodes = written(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature")), "nodes")
@@ -361,13 +362,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
     first = written(components(_along(sets, "place").unionByName(_along(sets, "place2"))), "components")
     left = pairs.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    left = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    last = written(components(_stars(first).unionByName(_confirmed(left, sets))), "components")
+    apart = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     if not crowded.isEmpty():
-        own = sets.join(crowded, "node", "left_semi").join(last, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "items")
-        rest = written(_confirmed(_across(written(own, "crowded_sets")), sets), "links")
-        if not rest.isEmpty():
-            last = written(components(_stars(last).unionByName(rest)), "components")
+        own = sets.join(crowded, "node", "left_semi").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "items")
+        apart = apart.unionByName(_across(written(own, "crowded_sets"))).distinct()
+    last = written(components(_stars(first).unionByName(_confirmed(apart, sets))), "components")
     placed = nodes.select("node", "least", "size").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = written(placed.join(least, "component").select("node", "size", "component_id"), "classes")

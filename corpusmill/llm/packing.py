@@ -20,15 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.kernels import arrow_map, cache
-from corpusmill.shared import written
+from corpusmill.llm.kernels import arrow_map, kept, released
+from corpusmill.shared import small_batches, written
 
 SEQUENCE = 2048
 END_ID = 1
 DIMS, BITS = 3, 10
 BUCKETS = 256
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 # Fixed value: the words that the vocabulary's own pattern splits off, of lower-case text.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
@@ -142,10 +142,9 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def work(batch: pa.RecordBatch) -> dict:
-        if ("tokenizer", path) not in cache():
-            cache()["tokenizer", path] = WordTokenizer(path)
+        tokenizer = kept(("tokenizer", path), lambda: WordTokenizer(path))
         end = np.array([END_ID], np.uint16).tobytes()
-        ids = [i + end for i in cache()["tokenizer", path].encode([t or "" for t in batch.column(1).to_pylist()])]
+        ids = [i + end for i in tokenizer.encode([t or "" for t in batch.column(1).to_pylist()])]
         return {"doc_id": batch.column(0), "place": places([np.frombuffer(i, np.uint16) for i in ids]), "n": [len(i) // 2 for i in ids], "ids": ids}
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(arrow_map(work, schema), "doc_id long, place long, n long, ids binary")
@@ -206,6 +205,7 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
     below it at a partition's end; sequence_id is unique, not dense.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     table = written(tokenized(docs, path), "tokens")
     schema = pa.schema([(f.split()[0], pa.int64()) for f in PIECE.split(", ")])
 
@@ -227,4 +227,4 @@ def pack(docs: DataFrame, path: str) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["place", "doc_id", "n"]
-    return table.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(work, PIECE)
+    return table.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids").mapInArrow(released(work), PIECE)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import among, bitmap
-from corpusmill.llm.kernels import arrow_map, byte_values, chunks, mix, space_table, text_bytes, window_hashes, word_hashes, words
+from corpusmill.llm.kernels import arrow_map, byte_values, chunks, mix, released, space_table, text_bytes, window_hashes, word_hashes, words
 from corpusmill.shared import small_batches, written
 
 U = np.uint64
@@ -155,7 +155,7 @@ def repeated_names(docs: DataFrame, bits: int) -> DataFrame:
         found = np.union1d(value[again], np.concatenate(twice))
         return pa.table({"name": found | (table["block"][0].as_py() << (48 - bits))})
 
-    sent = docs.select("text").mapInArrow(send, "block long, names binary, twice binary")
+    sent = docs.select("text").mapInArrow(released(send), "block long, names binary, twice binary")
     return sent.groupBy("block").applyInArrow(merge, "name long")
 
 
@@ -217,7 +217,7 @@ def _sent(docs: DataFrame, known: bytes, bits: int) -> DataFrame:
             yield from flush()
 
     kinds = ", ".join(f"{n} {'long' if n in ('block', 'src') else 'binary'}" for n in names)
-    return docs.select("key", "text").mapInArrow(send, kinds)
+    return docs.select("key", "text").mapInArrow(released(send), kinds)
 
 
 def _verdicts(table: pa.Table) -> pa.Table:
@@ -324,5 +324,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     clean = docs.mapInArrow(arrow_map(whole, schema), kind)
     # Texts go through the shuffle packed. The same join at every size: spans grow with the input.
     others = docs.mapInArrow(arrow_map(rest, packed), "doc_id long, packed binary, size long, key long").join(spans.hint("merge"), "key", "left").select("doc_id", "packed", "size", "begins", "ends")
-    return clean.unionByName(others.mapInArrow(cut, kind))
+    return clean.unionByName(others.mapInArrow(released(cut), kind))
 

@@ -1,25 +1,26 @@
 """Toxicity by a convolutional text classifier in numpy.
 
 A word is three table rows, found by two hashes of its letters and one of its
-first four bytes; their sum is its embedding. Filters over one, two and three words are followed by the maximum
-over the whole text and a linear layer. A word that training saw in few
-documents keeps the zero embedding. The threshold of each language, told from
+first four bytes; their sum is its embedding. Filters over one, two and three
+words are followed by the maximum over the whole text and a linear layer. A word
+that training saw in few documents keeps the zero embedding. The threshold of each language, told from
 the text's own function words, is calibrated on training rows and subtracted
 before the logistic function, so that 0.5 divides the classes everywhere.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusmill.llm.kernels import arrow_map, byte_values, cache, text_bytes, word_hashes, words
-from corpusmill.shared import written
+from corpusmill.llm.kernels import arrow_map, byte_values, cache, chunks, kept, released, text_bytes, word_hashes, words
+from corpusmill.shared import small_batches, written
 
 U = np.uint64
 BITS = 16
@@ -29,10 +30,12 @@ N_HASHES, STEM = 3, 4
 WIDTHS = (1, 2, 3)
 PER_WIDTH = 8
 #: Labelled rows of each class that training takes at most, and their words.
-MAX_ROWS, MAX_WORDS = 4000, 8_000_000
+MAX_ROWS, MAX_WORDS = 3000, 4_000_000
 #: Documents that must hold a word before training gives it an embedding.
 MIN_DOCS = 5
 EPOCHS = 4
+#: Bytes of text scored together: each word takes a row of responses.
+SCORED = 512 << 10
 # Common function words that tell the language of a text.
 FUNCTION_WORDS = {
     "en": "the of and to is that with for",
@@ -99,6 +102,7 @@ class Model:
     out: np.ndarray
     out_bias: float
     cut: np.ndarray
+    mark: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def table(self) -> np.ndarray:
         """For each hash, each bucket's part in each filter at each of its places."""
@@ -207,8 +211,13 @@ def _calibrate(model: Model, ids: list[np.ndarray], y: np.ndarray) -> None:
     """The logit of each language above which most calibration rows are told apart right."""
     if not ids:
         return
-    hashes, rows = np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-    logits, langs = model.logits(model.table(), hashes, rows), language(hashes, rows)
+    table, logits, langs = model.table(), [], []
+    for k in range(0, len(ids), 32):  # a few texts at a time: each word takes a row of responses
+        part = ids[k : k + 32]
+        hashes, rows = np.concatenate(part), np.concatenate([[0], np.cumsum([len(x) for x in part])])
+        logits.append(model.logits(table, hashes, rows))
+        langs.append(language(hashes, rows))
+    logits, langs = np.concatenate(logits), np.concatenate(langs)
 
     def best(z: np.ndarray, t: np.ndarray) -> float:
         order = np.argsort(z)
@@ -262,36 +271,35 @@ def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
     Null and empty texts are scored as texts without words. Rows that repeat
     get the same score. Only the text column is read for the score.
     """
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(column: pa.Array) -> np.ndarray:
         m = shipped.value
-        key = "toxicity table"
-        if cache().get(key, (None,))[0] is not m:
-            cache()[key] = m, m.table()
+        table = kept(("toxicity", m.mark), m.table)
         hashes, rows = word_ids(column)
-        return _sigmoid(m.logits(cache()[key][1], hashes, rows) - m.cut[language_of(column)])
+        return _sigmoid(m.logits(table, hashes, rows) - m.cut[language_of(column)])
 
     if keep:
         fields = docs.schema
-        schema = _arrow(fields)
+        schema = to_arrow_schema(fields)
         at = fields.fieldNames().index("text")
 
         def passing(batches):
-            for chunk in _small(batches, "text"):
+            for chunk in chunks(batches, "text", SCORED):
                 left = chunk.filter(pa.array(scores(chunk.column(at)) < 0.5))
                 if left.num_rows:
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(left.columns, schema, strict=True)], schema=schema)
 
-        return docs.mapInArrow(passing, fields)
+        return docs.mapInArrow(released(passing), fields)
 
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def work(batches):
-        for chunk in _small(batches, "text"):
+        for chunk in chunks(batches, "text", SCORED):
             yield pa.RecordBatch.from_arrays([chunk.column(0).cast(pa.int64()), pa.array(scores(chunk.column(1)))], schema=schema)
 
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, score double")
+    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(work), "doc_id long, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -300,18 +308,6 @@ def language_of(column: pa.Array) -> np.ndarray:
     return language(hashes, rows) if len(column) else np.zeros(0, np.int64)
 
 
-def _small(batches, text):
-    from corpusmill.llm.kernels import chunks
-
-    return chunks(batches, text, 512 << 10)
-
-
-def _arrow(fields: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(fields)
-
-
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of ``docs``."""
     return score(docs, train(docs, labels))
