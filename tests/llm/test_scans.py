@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import HARD, documents, rows
@@ -104,3 +105,41 @@ def test_personal_data(spark):
     got = {r[0]: r for r in rows(digest(P.personal_data(documents(spark, texts)), F.col("base"), P.KINDS))}
     assert got[len(HARD)][1:5] == (1, 0, 0, 0) and got[len(HARD)][6] == "email:2:8,email:13:30" and got[0][6] == "" and len(got) == len(texts)
     assert rows(P.personal_data(documents(spark, ["a"]).limit(0))) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("Authorization: Bearer QwErTyUiOpAsDfGhJkLzXcVbNm", "QwErTyUiOpAsDfGhJkLzXcVbNm"),
+        ("the client_secret is kXwQpLmNzRtYvBcD", "kXwQpLmNzRtYvBcD"),
+        ('passphrase="correct-horse-battery"', "correct-horse-battery"),
+        ("pwd: Ab3$x9q", "Ab3$x9q"),
+    ],
+)
+def test_secrets_without_digits_and_short_ones(field, text, secret):
+    assert [text[a:b] for _, _, b in S.scan(text, field) for a in [text.index(secret)]] == [secret] and S.scan(text, field)[0][0] == text.index(secret)
+
+
+def test_the_table_scores_as_the_features_do(field):
+    rng, scores = random.Random(8), S.Scores(field)
+    parts = ["password", "pwd", ":", "=", '"', " ", "  ", "\n", " ", "Ab3$x9q", "word", "Word", "http://a.b/c", "a@b.co", "100%", "kXwQpLmNzRtYvBcD", "é日本", "And ", "\ud800"]
+    for k in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(30)))
+        text = text if k % 2 else S.synthetic_line(rng)[0]
+        starts, ends, emit = scores.of(text)
+        lattices = S._lattices(text)
+        assert len(lattices) == (len(emit) > 0)
+        for tokens, chunks, after in lattices:
+            rows = S.features([t[0] for t in tokens], chunks, after, S.document_features(text))
+            assert [(t.start(), t.end()) for t in tokens] == list(zip(starts.tolist(), ends.tolist(), strict=True))
+            slow = field.scores(rows)
+            assert np.allclose(emit, slow - slow[:, [S.OUTSIDE]])
+            path = [S.OUTSIDE] * len(tokens)
+            for a, b in scores.stretches(emit):
+                path[a:b] = scores.field.best_path(emit[a:b])
+            assert path == field.viterbi(rows)
+
+
+def test_a_long_chunk_is_one_lattice(field):
+    text = "token=" + "aB3$" * 3000
+    assert len(S._lattices(text)) == 1 and len(S._lattices(text)[0][0]) > 4096
