@@ -56,7 +56,11 @@ _DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|
 _MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?P<at>@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 _NUMBERS = re.compile(rf"[0-9]+(?:(?:\.|{_DOT})[0-9]+){{3}}", re.IGNORECASE)
 _JOINT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
-_BRACKETS = re.compile(r"[\[({<]\s*(?:\.|@|at|arroba|arobase)\s*[\])}>]|\s@|@\s", re.IGNORECASE)
+_BRACKETS = re.compile(r"[\[({<]\s*(?:\.|@|at|arroba|arobase)\s*[\])}>]|_at_|\s@|@\s", re.IGNORECASE)
+#: "AT" and "At", which need no disguised full stop as "at" does.
+_CAPITAL_AT = re.compile(r"\s(?!(?:at|arroba|arobase)\s)(?i:at|arroba|arobase)\s+[A-Za-z0-9-]+\.")
+#: White space and letters that the patterns take as ASCII ones, and signs() does not.
+_WIDE = re.compile("[" + "".join(chr(i) for i in range(0x80, 0x3001) if chr(i).isspace()) + "\u0130\u0131\u017f\u212a]")
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
 
 
@@ -147,7 +151,7 @@ def signs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends[:128] = [not chr(i).isalnum() for i in range(128)]
     begin, end, rows = words(data, at, ends)
     own = word_hashes(data, begin, end, byte_values(True))
-    number, stop = (np.isin(own, _hashes(w)) for w in ((*SPELLED, *"0123456789"), _DOT_WORDS))
+    number, stop = (np.isin(own, _hashes(w)) for w in ((*SPELLED, "fÜnf", *"0123456789"), _DOT_WORDS))
     row = np.searchsorted(rows, np.arange(len(own)), "right") - 1
     pair = number[:-1] & number[1:] & (row[:-1] == row[1:]) if len(own) else np.zeros(0, bool)
     return tuple(np.bincount(row[: len(x)][x], minlength=len(column)) > 0 for x in (pair, stop))
@@ -165,8 +169,10 @@ def disguised(text: str, spelled: bool | None = None, stop: bool | None = None)
     """
     if spelled is None or stop is None:
         spelled, stop = (bool(x[0]) for x in signs(pa.array([text])))
+    if not text.isascii() and _WIDE.search(text):
+        spelled = stop = True
     looks = not text.isascii() and bool(_LOW_LOOKS.search(text) or _HIGH_LOOKS.search(text))
-    joints = stop or any(c in text for c in "[({<@") and bool(_BRACKETS.search(text))
+    joints = stop or any(c in text for c in "[({<@_") and bool(_BRACKETS.search(text)) or bool(_CAPITAL_AT.search(text))
     if not (looks or spelled or joints):
         return []
     tape = Tape(text)

@@ -143,3 +143,25 @@ def test_the_table_scores_as_the_features_do(field):
 def test_a_long_chunk_is_one_lattice(field):
     text = "token=" + "aB3$" * 3000
     assert len(S._lattices(text)) == 1 and len(S._lattices(text)[0][0]) > 4096
+
+
+@pytest.mark.parametrize("text", ["mail john_at_example.com now", "mail john_AT_example.com", "card " + "\u00a0".join("four one one one 1 1 1 1 1 1 1 1 1 1 1 1".split()), "john\u00a0at\u00a0example\u00a0dot\u00a0com", "john [at] example po\u0131nt com", "call plus one FÜNF one FÜNF one FÜNF one FÜNF one"])
+def test_every_disguise_passes_the_gate(text):
+    assert P.disguised(text) == P.disguised(text, True, True) != []
+
+
+def test_gated_scans_equal_ungated_ones():
+    rng = random.Random(6)
+    parts = ["john", "example", "com", "at", "AT", "_at_", "_AT_", "_dot_", "dot", "DOT", "punkt", "po\u0131nt", "arroba", "arobaſe", "[at]", "( @ )", "[.]", "<dot>", "@", ".", ".com", "one", "FÜNF", "fünf", "sıx", "SİX", "plus", "4", "1", "192", "-", ",", "_", "“", "é"]
+    spaces = ["", "", " ", " ", "\n", "\u00a0", "\u2009", "\u3000", "\x85", "\x1c"]
+    found = 0
+    for k in range(8000):
+        ascii_only = k % 2
+        words = [w for w in parts if w.isascii() or not ascii_only]
+        words = rng.choice([words, words[:25], ["one", "4", "FÜNF" if not ascii_only else "two", "five", "plus"]])
+        gaps = spaces if not ascii_only else [" ", "", "\n"]
+        text = "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(1, 24)))
+        want = P.disguised(text, True, True)
+        found += bool(want)
+        assert P.disguised(text) == want, text
+    assert found > 100
