@@ -7,8 +7,9 @@ at its place, so the join on that pair alone is enough to find it: the pair's
 places in document and item align the two, length and position bound what may
 match there, and windows of the aligned words are compared word by word.
 
-Pairs are met in lower case of all letters, which costs less than that of A-Z
-alone and joins no fewer; the comparison is exact.
+Pairs are met in lower case of all letters, with one form of sigma, whose lower
+case follows its context: that costs less than lower case of A-Z alone and joins
+no fewer. The comparison is exact.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def lower_loose(text: Column) -> Column:
+    """All letters in lower case, each alike wherever it stands: the final sigma becomes the medial one."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+
+
 def _bare(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
 
@@ -52,7 +58,7 @@ def _pairs(df: DataFrame, *keys: str) -> DataFrame:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(lower_ascii(text)).alias("words"), words_of(F.lower(text)).alias("loose")).where("size(words) > 0").distinct()
+    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(lower_ascii(text)).alias("words"), words_of(lower_loose(text)).alias("loose")).where("size(words) > 0").distinct()
     return words.withColumn("item", F.xxhash64("item_id", "words")).withColumn("k", F.least(F.size("words"), F.lit(WINDOW)))
 
 
@@ -89,7 +95,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     item_id; repeated documents get repeated rows. Other columns take no part.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.xxhash64("doc_id", "text"))
-    loose = docs.select("key", words_of(F.lower("text")).alias("loose"))
+    loose = docs.select("key", words_of(lower_loose(F.col("text"))).alias("loose"))
     exact = docs.select("key", words_of(lower_ascii(F.col("text"))).alias("words"))
     items = written(_items(benchmark), "items")
     prefixes = written(_prefixes(items, loose).join(items.select("item", "k", F.size("words").alias("length")), "item"), "prefixes")

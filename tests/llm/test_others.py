@@ -215,3 +215,9 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "toxicity")).collect()}
     assert len(left & toxic) <= 3 and len(left) >= 200
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {r["doc_id"] for r in now.collect()}
+
+
+def test_contamination_where_lower_case_follows_context(spark):
+    docs = documents(spark, ["ΛΟΓΟΣ's", "x ΛΟΓΟΣ s y", "λογοσ s"])
+    items = spark.createDataFrame([("a", "ΛΟΓΟΣ s"), ("b", "ΛΟΓΟΣ.s")], "item_id string, text string")
+    assert rows(contamination(docs, items), "doc_id", "n_hit", "n_items") == [(0, 2, 2), (1, 2, 2), (2, 0, 0)]
