@@ -6,11 +6,16 @@ the Python stage that made it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 _RUN = uuid.uuid4().hex[:12]
 
@@ -59,13 +64,46 @@ def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, mo
     return a.unionByName(b)
 
 
-#: Rows up to which a side may be broadcast; beyond, the join is a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes of their strings and arrays, up to which a side may be broadcast; beyond, the join is a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` of a few narrow columns, broadcast if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` broadcast if it has BROADCAST_ROWS rows and BROADCAST_BYTES bytes at most."""
+    wide = [F.coalesce(F.length(F.to_json(F.struct(f.name)) if isinstance(f.dataType, ArrayType) else F.col(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, StringType | BinaryType | ArrayType)]
+    each = sum(wide, F.lit(8 * len(df.columns))).cast("long")
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+
+
+def trim() -> None:
+    """Give the memory that this Python process has freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    own = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if own is not None:
+        own(0)
+
+
+def give_back(spark: SparkSession) -> None:
+    """Collect the driver's garbage and give freed memory back, in the JVM and in Python.
+
+    A query of many jobs leaves their plans behind; Spark removes broadcasts and
+    shuffle files only when the plans that made them are collected.
+    """
+    jvm, made = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    kinds, given = made(jvm.Class, 4), made(jvm.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.Class.forName(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    try:
+        # By the interface's method: the class behind it is not open to reflection.
+        jvm.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JJavaError:  # a JVM without this command
+        pass
+    trim()
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
