@@ -3,13 +3,16 @@
 A window is WINDOW words in a row of an item; an item of fewer words is one
 window. The shingles of a window are its pairs of neighbouring words, ordered by
 how rare they are in the corpus. An occurrence of the window has its rarest pair
-at its place, so the join on that pair alone is enough to find it: the pair's
-places in document and item align the two, length and position bound what may
-match there, and windows of the aligned words are compared word by word.
-
-Pairs are met in lower case of all letters, with one form of sigma, whose lower
-case follows its context: that costs less than lower case of A-Z alone and joins
-no fewer. The comparison is exact.
+at its place, so the join on that pair alone is enough to find it. Windows of an
+item that have the same rarest pair overlap and are one segment, 24 words at
+most; segments that items share are one too. The pair's places in document and
+segment align the two, length and position bound what may match there, and the
+windows of the aligned words are compared word by word.
+
+Words are met as 32-bit hashes of their lower case, which are written once and
+read by each pass. Lower case is that of all letters, with one form of sigma,
+whose lower case follows its context: that joins no fewer than lower case of A-Z
+alone. The comparison is exact.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from corpusmill.shared import small, written
 
 WINDOW = 13
 # What stands between words: ASCII but digits and letters.
-SEPARATORS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -36,55 +38,63 @@ def lower_loose(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
 
 
-def _bare(text: Column) -> Column:
-    return F.btrim(F.coalesce(text, F.lit("")), F.lit(SEPARATORS))
-
-
 def words_of(text: Column) -> Column:
     """The words of a text; splitting is much cheaper than extracting."""
-    return F.when(_bare(text) == "", F.array().cast("array<string>")).otherwise(F.split(_bare(text), BETWEEN))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+
 
+def _hashes(text: Column) -> Column:
+    return F.transform(words_of(lower_loose(text)), lambda w: F.hash(w))
 
-def count_words(text: Column) -> Column:
-    spaced = F.regexp_replace(_bare(text), BETWEEN, " ")
-    return F.when(_bare(text) == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+def _pair(a: Column, b: Column) -> Column:
+    """The two 32-bit hashes as one number; null without a second one."""
+    return F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def _pairs(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, pos, w and w2 (null after the last word) of each word of column loose."""
-    zipped = F.arrays_zip(F.col("loose").alias("w"), F.slice("loose", 2, F.greatest(F.size("loose"), F.lit(1))).alias("w2"))
-    return df.select(*keys, F.size("loose").alias("n"), F.posexplode(zipped).alias("pos", "pair")).select(*keys, "n", "pos", F.col("pair.w").alias("w"), F.col("pair.w2").alias("w2"))
+    """keys, n, pos and pair of each two neighbouring words of column h."""
+    both = F.zip_with("h", F.slice("h", 2, F.greatest(F.size("h"), F.lit(1))), _pair)
+    return df.where("size(h) > 1").select(*keys, F.size("h").alias("n"), F.posexplode(F.slice(both, 1, F.size("h") - 1)).alias("pos", "pair"))
 
 
-def _items(benchmark: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(lower_ascii(text)).alias("words"), words_of(lower_loose(text)).alias("loose")).where("size(words) > 0").distinct()
-    return words.withColumn("item", F.xxhash64("item_id", "words")).withColumn("k", F.least(F.size("words"), F.lit(WINDOW)))
+def _singles(df: DataFrame, *keys: str) -> DataFrame:
+    """The same for words alone."""
+    return df.select(*keys, F.size("h").alias("n"), F.posexplode("h").alias("pos", "pair")).withColumn("pair", F.col("pair").cast("long"))
 
 
-def _meet(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Pairs of documents joined to those of items; a one-word item's pair is its word with any next."""
-    b = own.withColumnRenamed("w", "bw").withColumnRenamed("w2", "bw2")
-    return pairs.join(b, (F.col("w") == F.col("bw")) & (F.col("bw2").isNull() | (F.col("w2") == F.col("bw2"))))
+def _meeting(words: DataFrame, own: DataFrame, *keys: str) -> DataFrame:
+    """Words joined to ``own`` (pair, alone, ...): those of one-word items, which are alone, and all others by pairs."""
+    met = _pairs(words, *keys).join(small(own.where("NOT alone")), "pair")
+    alone = own.where("alone")
+    return met if alone.isEmpty() else met.unionByName(_singles(words, *keys).join(small(alone), "pair"))
 
 
-def _prefixes(items: DataFrame, docs: DataFrame) -> DataFrame:
-    """item, i, w, w2: the rarest pair of each window; of equally rare ones the first."""
-    own = _pairs(items, "item", "k").where("w2 IS NOT NULL OR n = 1")
-    distinct = own.select("w", "w2").distinct()
-    counts = _meet(_pairs(docs, "key"), small(distinct)).groupBy("bw", "bw2").agg(F.count(F.lit(1)).alias("often"))
-    known = own.join(counts, (F.col("w") == F.col("bw")) & F.col("w2").eqNullSafe(F.col("bw2")), "left").fillna(0, ["often"])
-    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.greatest(F.col("k") - 2, F.lit(0))), F.least(F.col("pos"), F.col("n") - F.col("k"))))
-    rarest = known.select("item", "pos", "w", "w2", "often", window.alias("s")).groupBy("item", "s").agg(F.min(F.struct("often", "pos", "w", "w2")).alias("p"))
-    return rarest.select("item", F.col("p.pos").alias("i"), F.col("p.w").alias("w"), F.col("p.w2").alias("w2")).distinct()
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, words, h, k (the size of a window) and item, a number, of each distinct item with words."""
+    text = F.col("text").cast("string")
+    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(lower_ascii(text)).alias("words"), _hashes(text).alias("h")).where("size(words) > 0").distinct()
+    return written(words.withColumn("k", F.least(F.size("words"), F.lit(WINDOW))).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def _found(c: Column) -> Column:
-    """The item and the hit positions of one alignment of an item with column words."""
-    n = F.size("words")
-    first, last = F.greatest(F.lit(0), -c["delta"]), F.least(F.size(c["item_words"]), n - c["delta"]) - c["k"]
-    hits = F.filter(F.sequence(first, last), lambda s: F.slice("words", c["delta"] + s + 1, c["k"]) == F.slice(c["item_words"], s + 1, c["k"]))
-    return F.struct(c["item_id"].alias("item_id"), F.flatten(F.transform(hits, lambda s: F.sequence(c["delta"] + s, c["delta"] + s + c["k"] - 1))).alias("at"))
+def _segments(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct segments (seg, pair, alone, off, k, part) and the items of each (seg, item_id).
+
+    off is where the pair stands in the segment's words, which are part.
+    """
+    own = _pairs(items, "item", "k").withColumn("alone", F.lit(False)).unionByName(_singles(items.where("size(h) = 1"), "item", "k").withColumn("alone", F.lit(True)))
+    own = written(own, "item_pairs")
+    counts = _meeting(words, own.select("pair", "alone").distinct()).groupBy("pair", "alone").agg(F.count(F.lit(1)).alias("often"))
+    known = own.join(counts, ["pair", "alone"], "left").fillna(0, ["often"])
+    window = F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.greatest(F.col("k") - 2, F.lit(0))), F.least(F.col("pos"), F.col("n") - F.col("k"))))
+    # Of equally rare pairs the first: then the windows of a pair follow each other.
+    rarest = known.select("item", "pos", "pair", "alone", "often", window.alias("s")).groupBy("item", "s").agg(F.min(F.struct("often", "pos", "pair", "alone")).alias("p"))
+    spans = rarest.groupBy("item", "p.pos", "p.pair", "p.alone").agg(F.min("s").alias("low"), F.max("s").alias("high"))
+    cut = spans.join(items.select("item", "item_id", "k", "words"), "item").select("item_id", "pair", "alone", "k", (F.col("pos") - F.col("low")).alias("off"), F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + F.col("k")).alias("part"))
+    cut = written(cut.distinct(), "item_segments")
+    same = ["pair", "alone", "k", "off", "part"]
+    segments = written(cut.select(*same).distinct().withColumn("seg", F.monotonically_increasing_id()), "segments")
+    return segments, cut.join(segments, same).select("seg", "item_id")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -92,21 +102,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and are clean, as all is beside an empty
     benchmark; items without words match nothing. Repeated items count by
-    item_id; repeated documents get repeated rows. Other columns take no part.
+    item_id; repeated documents get repeated rows. A long text is one row of
+    hashes and of words, else nothing grows with a document but its number of
+    rows. Other columns take no part.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.xxhash64("doc_id", "text"))
-    loose = docs.select("key", words_of(lower_loose(F.col("text"))).alias("loose"))
-    exact = docs.select("key", words_of(lower_ascii(F.col("text"))).alias("words"))
-    items = written(_items(benchmark), "items")
-    prefixes = written(_prefixes(items, loose).join(items.select("item", "k", F.size("words").alias("length")), "item"), "prefixes")
-    met = _meet(_pairs(loose, "key"), small(prefixes)).withColumn("delta", F.col("pos") - F.col("i"))
+    # A row is told by doc_id (0 where it is null, which row_key tells apart) and a hash of both.
+    row = ["own", "row_key"]
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("own", F.coalesce("doc_id", F.lit(0).cast("long")))
+    words = written(docs.select("doc_id", *row, _hashes(F.col("text")).alias("h")), "words")
+    segments, members = _segments(_items(benchmark), words)
+    met = _meeting(words, segments.select("pair", "alone", "seg", "off", "k", F.size("part").alias("length")), *row).withColumn("delta", F.col("pos") - F.col("off"))
     inside = F.least(F.col("n"), F.col("delta") + F.col("length")) - F.greatest(F.lit(0), F.col("delta")) >= F.col("k")
-    aligned = met.where(inside).select("key", "item", "delta").distinct()
-    aligned = aligned.join(small(items.select("item", "item_id", "k", F.col("words").alias("item_words"))), "item")
-    candidates = written(aligned.groupBy("key").agg(F.collect_list(F.struct("item_id", "delta", "k", "item_words")).alias("c")), "candidates")
-    held = exact.join(small(candidates.select("key")), "key", "left_semi").dropDuplicates(["key"]).join(candidates, "key")
-    found = held.select("key", F.filter(F.transform("c", _found), lambda f: F.size(f["at"]) > 0).alias("f")).where("size(f) > 0")
-    marks = found.select("key", F.size(F.array_distinct(F.flatten("f.at"))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("f.item_id")).alias("items"))
-    out = docs.select("doc_id", "key", count_words(F.col("text")).alias("n_words")).join(marks, "key", "left")
+    places = met.where(inside).groupBy(*row).agg(F.collect_set(F.struct("seg", "delta", "length")).alias("places"))
+    places = written(places, "places")
+    held = docs.join(small(places.select(*row)), row, "left_semi").select(*row, words_of(lower_ascii(F.col("text"))).alias("w")).join(places, row)
+    first = F.greatest(F.lit(0), -F.col("delta"))
+    aligned = held.select(*row, F.explode(F.transform("places", lambda p: F.struct(p["seg"].alias("seg"), p["delta"].alias("delta"), F.slice("w", F.greatest(p["delta"], F.lit(0)) + 1, p["length"] - F.greatest(F.lit(0), -p["delta"])).alias("here")))).alias("a")).select(*row, "a.*")
+    both = aligned.join(small(segments.select("seg", "k", "part")), "seg").withColumn("first", first)
+    hits = F.filter(F.sequence("first", F.col("first") + F.size("here") - F.col("k")), lambda s: F.slice("here", s - F.col("first") + 1, F.col("k")) == F.slice("part", s + 1, F.col("k")))
+    found = written(both.select(*row, "seg", "delta", "k", hits.alias("hits")).where("size(hits) > 0"), "hits")
+    at = found.select(*row, F.explode(F.flatten(F.transform("hits", lambda s: F.sequence(F.col("delta") + s, F.col("delta") + s + F.col("k") - 1)))).alias("at"))
+    n_hit = at.distinct().groupBy(*row).agg(F.count(F.lit(1)).alias("n_hit"))
+    listed = found.select(*row, "seg").distinct().join(members, "seg").groupBy(*row).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    marks = n_hit.join(listed, row)
+    out = words.select("doc_id", *row, F.size("h").cast("long").alias("n_words")).join(marks, row, "left")
     out = out.withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.col("key").alias("row_key"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "row_key")

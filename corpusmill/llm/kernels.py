@@ -5,13 +5,14 @@ All sums and products are of unsigned 64-bit integers and wrap.
 
 from __future__ import annotations
 
-import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from corpusmill.shared import trim
+
 U = np.uint64
 #: Bytes of text handled together; a longer document is handled alone.
 CHUNK = 1 << 20
@@ -41,10 +42,7 @@ def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
         try:
             yield from work(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            trim()
 
     return run
 

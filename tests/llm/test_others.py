@@ -221,3 +221,42 @@ def test_contamination_where_lower_case_follows_context(spark):
     docs = documents(spark, ["ΛΟΓΟΣ's", "x ΛΟΓΟΣ s y", "λογοσ s"])
     items = spark.createDataFrame([("a", "ΛΟΓΟΣ s"), ("b", "ΛΟΓΟΣ.s")], "item_id string, text string")
     assert rows(contamination(docs, items), "doc_id", "n_hit", "n_items") == [(0, 2, 2), (1, 2, 2), (2, 0, 0)]
+
+
+def brute_contamination(texts, items):
+    find = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+").findall
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        w = find((t or "").translate(LOWER))
+        k = min(13, len(w))
+        for s in range(len(w) - k + 1 if k else 0):
+            windows[tuple(w[s : s + k])].add(i)
+    out = []
+    for i, t in enumerate(texts):
+        w, hit, own = find((t or "").translate(LOWER)), set(), set()
+        for k in {len(x) for x in windows}:
+            for s in range(len(w) - k + 1):
+                if tuple(w[s : s + k]) in windows:
+                    hit |= set(range(s, s + k))
+                    own |= windows[tuple(w[s : s + k])]
+        out.append((i, len(w), len(hit), len(own)))
+    return out
+
+
+def test_contamination_of_letters_with_more_than_one_lower_case(spark):
+    rng = random.Random(14)
+    parts = ["ΑΣ", "ας", "ασ", "Σ", "ς", "İ", "i̇", "I", "ı", "K", "k", "K", "ß", "ẞ", "a", "A", "1", "_", "'", ".", ":", " ", " ", "-", "\n", "é", "É"]
+    draw = lambda n: "".join(rng.choice(parts) for _ in range(rng.randrange(n)))
+    items = [("a", "ΑΣ Α"), ("b", "ΑΣ ΒΓ"), *((f"r{k}", draw(12)) for k in range(30))]
+    texts = ["ΑΣ'Α", "ΑΣ.ΒΓ", *(draw(60) for _ in range(200))]
+    got = rows(contamination(documents(spark, texts), spark.createDataFrame(items, "item_id string, text string")), "doc_id", "n_words", "n_hit", "n_items")
+    assert got == brute_contamination(texts, items) and got[0][2:] == (2, 1)
+
+
+def test_contamination_by_items_that_share_a_template(spark):
+    rng = random.Random(15)
+    template = [f"t{k}" for k in range(20)]
+    items = [(f"i{k}", " ".join([*template, f"x{k}", *(f"y{k % 3}" for _ in range(3)), *template[:15]])) for k in range(40)]
+    texts = [" ".join(template), " ".join(template[3:16]), " ".join(template[3:15]), items[7][1], " ".join(i[1] for i in items), *(" ".join(rng.choice(items)[1].split()[rng.randrange(20) :]) for _ in range(20))]
+    got = rows(contamination(documents(spark, texts), spark.createDataFrame(items, "item_id string, text string")), "doc_id", "n_words", "n_hit", "n_items")
+    assert got == brute_contamination(texts, items) and got[0][3] == 40
