@@ -116,7 +116,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prints = written(fingerprints(docs), "prints")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    twice = spark.sparkContext.broadcast(bitmap(repeated(prints, prints.count(), partitions), "fp"))
+    again = written(repeated(prints, prints.count(), partitions), "repeated")
+    twice = spark.sparkContext.broadcast(bitmap(again, "fp", again.count()))
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("norm", pa.string())])
 
     def candidates(batch: pa.RecordBatch) -> dict | None:

@@ -1,12 +1,13 @@
 """Near duplicates by an LSH forest over MinHash signatures.
 
-Documents with equal shingle sets are one node. Each of TREES trees orders the
-nodes by a run of MinHash values, DEPTH of them; a tree is stored as a sorted
-table, and a node's candidates are its neighbours there that share at least
-MIN_DEPTH values. Where many nodes share those, the order by the further values
-decides who is neighbour: the depth adapts to how dense a region is. At a
-similarity of 0.75 two nodes share MIN_DEPTH values in some tree but for a
-chance of 5e-6.
+Documents with equal shingle sets are one node; sets are told apart by 128 bits.
+Each of TREES trees orders the nodes by DEPTH MinHash values; a tree is stored as
+a sorted table, in which the rows that share a prefix stand together. A node's
+candidates in a tree are those of its neighbours there with the longest common
+prefixes: its depth is the longest prefix that REACH of them share with it, and
+MIN_DEPTH at least, so it is deep where many nodes resemble each other and low
+where few do. At a similarity of 0.75 two nodes share MIN_DEPTH values in some
+tree but for a chance of 5e-6.
 
 Links are confirmed on full sets: first along one order, which sends each set
 once and settles most of every dense region; then for each candidate pair whose
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.graph import components
 from corpusmill.llm.kernels import arrow_map, byte_values, mix, released, space_table, text_bytes, window_hashes, word_hashes, words
-from corpusmill.shared import heavy_join, small_batches, written
+from corpusmill.shared import give_back, heavy_join, small_batches, written
 
 U = np.uint64
 SHINGLE = 5
@@ -84,24 +85,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def node_of(values: np.ndarray) -> int:
-    """A hash of a set; null stands for the empty set."""
-    return int(np.array([np.add.reduce(mix(values ^ U(0xA5A5A5A5A5A5A5A5)))], U).astype(np.int64)[0])
+def node_of(values: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two hashes of a set, the first of ``bits`` bits."""
+    first, second = (np.add.reduce(mix(values ^ U(x))) for x in (0xA5A5A5A5A5A5A5A5, 0xC2B2AE3D27D4EB4F))
+    return tuple(np.array([first & U((1 << bits) - 1), second], U).astype(np.int64).tolist())
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_shingles, node and signature of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
+def sketches(docs: DataFrame, bits: int) -> DataFrame:
+    """doc_id, row_key, n_shingles, node, check and signature of each document; node and check are null for the empty set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("signature", pa.binary())])
 
     def work(batch: pa.RecordBatch) -> dict:
         sets = shingle_sets(batch.column(1))
-        return {"doc_id": batch.column(0), "row_key": batch.column(2), "n_shingles": [len(s) for s in sets], "node": [node_of(s) if len(s) else None for s in sets], "signature": [r.tobytes() for r in signatures(sets)]}
+        node, check = zip(*[node_of(s, bits) if len(s) else (None, None) for s in sets], strict=True)
+        return {"doc_id": batch.column(0), "row_key": batch.column(2), "n_shingles": [len(s) for s in sets], "node": node, "check": check, "signature": [r.tobytes() for r in signatures(sets)]}
 
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(arrow_map(work, schema), "doc_id long, row_key long, n_shingles long, node long, signature binary")
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(arrow_map(work, schema), "doc_id long, row_key long, n_shingles long, node long, check long, signature binary")
+
+
+def told_apart(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """``rows`` with node renamed by check where ``shared`` lists it: where sets that differ have the same node."""
+    if shared is None:
+        return rows
+    named = rows.join(shared.withColumn("_shared", F.lit(True)), "node", "left")
+    return named.withColumn("node", F.when(F.col("_shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("_shared")
 
 
 def tree_keys(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and tree: its first MIN_DEPTH values with the tree, hashed, and the further values in order."""
+    """For each row and tree: its first MIN_DEPTH values with the tree, hashed, and the further values in order.
+
+    The further values are those of other trees: a tree costs MIN_DEPTH values.
+    """
     own = signature.reshape(len(signature), TREES, MIN_DEPTH).astype(U)
     packed = own[:, :, 0]
     for k in range(1, MIN_DEPTH):
@@ -125,59 +139,97 @@ def _forest(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "signature").mapInArrow(released(work), "head long, rest long, node long")
 
 
+def common_prefixes(head: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """How many values each row shares with the one after it, from the first; 0 where that is below MIN_DEPTH."""
+    differ = (rest[1:] ^ rest[:-1]).astype(U)
+    further = sum((differ >> U(16 * k) == 0).astype(np.int64) for k in range(DEPTH - MIN_DEPTH))
+    return np.where(head[1:] == head[:-1], MIN_DEPTH + further, 0)
+
+
+def candidates(shared: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each distance d up to REACH, the rows i of which i and i + d are candidates.
+
+    ``shared`` are the common prefixes of neighbouring rows. Of the rows within
+    REACH of a row, those with its REACH longest common prefixes are taken, and
+    all that share as much.
+    """
+    n = len(shared) + 1
+    far = np.zeros((REACH + 1, n), np.int64)  # far[d, i]: the prefix that rows i to i + d share
+    if n > 1:
+        far[1, :-1] = shared
+    for d in range(2, REACH + 1):
+        if n > d:
+            far[d, : n - d] = np.minimum(far[d - 1, : n - d], shared[d - 1 :])
+    sides = [far[d] for d in range(1, REACH + 1)]
+    for d in range(1, REACH + 1):
+        behind = np.zeros(n, np.int64)
+        behind[d:] = far[d, : max(0, n - d)]
+        sides.append(behind)
+    depth = np.maximum(MIN_DEPTH, np.partition(np.stack(sides), REACH, axis=0)[REACH])
+    out = []
+    for d in range(1, REACH + 1):
+        own = far[d, : max(0, n - d)]
+        out.append((d, np.flatnonzero((own >= depth[: len(own)]) | (own >= depth[d:]))))
+    return out
+
+
 def neighbours(sorted_rows: DataFrame) -> DataFrame:
-    """Pairs of neighbours in each sorted partition, crowded nodes, and the rows at its borders.
+    """Pairs of candidates in each sorted partition, crowded nodes, and the rows at its borders.
 
     A pair has border null, a crowded node b too. A border row has its node in a
     and its place in border: 0.. from the front, -1.. from the back, its head in b.
+    Rows are held until all that may decide on them is there.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("border", pa.int32())])
 
     def work(batches):
         part = TaskContext.get().partitionId()
-        tail_head, tail_node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        head, rest, node = (np.zeros(0, np.int64) for _ in range(3))
+        done = front = 0  # rows held that have met those after them, and border rows sent
         first = None
-        front = 0
 
         def rows(a, b, border=None):
             n = len(a)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.array([part if border is not None else None] * n, pa.int32()), pa.array(border if border is not None else [None] * n, pa.int32())], schema=schema)
 
+        def met(ready):
+            """Pairs of the rows from ``done`` to ``ready`` with later ones, and crowded nodes."""
+            shared = common_prefixes(head, rest)
+            found = [np.stack([node[i], node[i + d]]) for d, i in ((d, i[(i >= done) & (i < ready)]) for d, i in candidates(shared))]
+            both = np.concatenate(found, axis=1)
+            both = both[:, both[0] != both[1]]
+            if both.shape[1]:
+                yield rows(both.min(0), both.max(0))
+            same = np.flatnonzero(head[EDGE:] == head[:-EDGE])
+            same = same[(same >= done) & (same < ready)]
+            if len(same):
+                yield rows(node[np.unique(same[:, None] + np.arange(EDGE + 1))], None)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            head, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            new = [batch.column(k).to_numpy() for k in range(3)]
             if front < EDGE:
-                n = min(EDGE - front, len(head))
-                yield rows(node[:n], head[:n], list(range(front, front + n)))
+                n = min(EDGE - front, len(new[0]))
+                yield rows(new[2][:n], new[0][:n], list(range(front, front + n)))
                 front += n
-            seen = len(tail_head)
-            head, node = np.concatenate([tail_head, head]), np.concatenate([tail_node, node])
-            pairs = []
-            for d in range(1, REACH + 1):
-                same = np.flatnonzero(head[d:] == head[:-d])
-                same = same[same + d >= seen]
-                pairs.append(np.stack([node[same], node[same + d]]))
-            same = np.flatnonzero(head[EDGE:] == head[:-EDGE])
-            same = same[same + EDGE >= seen]
-            if len(same):
-                crowded = np.zeros(len(head), bool)
-                for d in range(EDGE + 1):
-                    crowded[same + d] = True
-                yield rows(node[crowded], None)
-            run = np.maximum.accumulate(np.where(np.concatenate([[True], head[1:] != head[:-1]]), np.arange(len(head)), 0))
-            lead = node[run]
+            # The first row of a run meets all of it, wherever they are.
+            run = np.maximum.accumulate(np.where(np.concatenate([[True], new[0][1:] != new[0][:-1]]), np.arange(len(new[0])), 0))
+            lead = new[2][run]
             if first is not None:
-                lead = np.where(head == first[0], first[1], lead)
-            pairs.append(np.stack([lead, node])[:, seen:])
-            first = int(head[-1]), int(lead[-1])
-            both = np.concatenate(pairs, axis=1)
-            both = both[:, both[0] != both[1]]
-            if both.shape[1]:
-                yield rows(both.min(0), both.max(0))
-            tail_head, tail_node = head[-EDGE:], node[-EDGE:]
-        if len(tail_head):
-            yield rows(tail_node, tail_head, [-k for k in range(len(tail_head), 0, -1)])
+                lead = np.where(new[0] == first[0], first[1], lead)
+            first = int(new[0][-1]), int(lead[-1])
+            star = np.stack([lead, new[2]])[:, lead != new[2]]
+            if star.shape[1]:
+                yield rows(star.min(0), star.max(0))
+            head, rest, node = (np.concatenate(x) for x in zip((head, rest, node), new, strict=True))
+            ready = max(done, len(head) - 2 * EDGE)
+            yield from met(ready)
+            cut = max(0, ready - 2 * EDGE)
+            head, rest, node, done = head[cut:], rest[cut:], node[cut:], ready - cut
+        if len(head):
+            yield from met(len(head))
+            yield rows(node[-EDGE:], head[-EDGE:], [-k for k in range(min(EDGE, len(head)), 0, -1)])
 
     return sorted_rows.mapInArrow(released(work), "a long, b long, part int, border int")
 
@@ -261,24 +313,25 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, bits: int, shared: DataFrame | None) -> DataFrame:
     """node, set and its places in two orders for the wanted nodes, and by chance for some others."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "node"))
-    schema = pa.schema([("node", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("items", pa.binary())])
+    first_hash = wanted if shared is None else wanted.unionByName(shared)
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(first_hash, "node", first_hash.count()))
+    schema = pa.schema([("node", pa.int64()), ("check", pa.int64()), ("place", pa.int64()), ("place2", pa.int64()), ("items", pa.binary())])
 
     def work(batch: pa.RecordBatch) -> dict | None:
         a, b = _multipliers()
         sets = [s for s in shingle_sets(batch.column(1)) if len(s)]
-        own = np.array([node_of(s) for s in sets], np.int64)
+        own = np.array([node_of(s, bits) for s in sets], np.int64).reshape(-1, 2)
         got = []
-        for k in np.flatnonzero(among(own, shipped.value)):
+        for k in np.flatnonzero(among(own[:, 0], shipped.value)):
             low = (mix(sets[k])[None, :] * a[:4, None] + b[:4, None] >> U(20)).min(1)
             places = [int(x << U(20) | y >> U(24)) - (1 << 63) for x, y in (low[:2], low[2:])]
-            got.append((int(own[k]), *places, sets[k].tobytes()))
+            got.append((*own[k].tolist(), *places, sets[k].tobytes()))
         return dict(zip(schema.names, zip(*got, strict=True), strict=True)) if got else None
 
-    made = docs.mapInArrow(arrow_map(work, schema), "node long, place long, place2 long, items binary")
-    return made.groupBy("node").agg(F.first("place").alias("place"), F.first("place2").alias("place2"), F.first("items").alias("items"))
+    made = docs.mapInArrow(arrow_map(work, schema), "node long, check long, place long, place2 long, items binary")
+    return told_apart(made, shared).groupBy("node").agg(F.first("place").alias("place"), F.first("place2").alias("place2"), F.first("items").alias("items"))
 
 
 def _along(sets: DataFrame, order: str) -> DataFrame:
@@ -336,18 +389,23 @@ def _stars(placed: DataFrame) -> DataFrame:
     return placed.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, node_bits: int = 64) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept, row_key.
 
     A text without words, null included, has an empty set and is linked with
     nothing. Rows that repeat get repeated rows; a null doc_id is linked with
-    nothing, has a null component_id and is kept. Other columns take no part,
-    whatever their names.
+    nothing, has a null component_id and is kept. A long text is one row: the
+    memory of a task grows with the longest text. Other columns take no part,
+    whatever their names. node_bits is the width of a node's first hash; sets
+    that share it are told apart by a second one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    drawn = written(sketches(docs), "sketches")
+    drawn = written(sketches(docs, node_bits), "sketches")
+    shared = drawn.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node")
+    shared = None if shared.isEmpty() else written(shared, "shared")
+    drawn = told_apart(drawn, shared)
     nodes = written(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature")), "nodes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     trees = _forest(nodes).repartitionByRange(n, "head", "rest", "node").sortWithinPartitions("head", "rest", "node")
@@ -359,14 +417,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edge_rows = spark.createDataFrame(pa.table({"node": pa.array(sorted(edge), pa.int64())}))
     pairs = written(met.where("border IS NULL AND b IS NOT NULL").select("a", "b").unionByName(pair_rows).distinct(), "pairs")
     crowded = written(met.where("border IS NULL AND b IS NULL").select(F.col("a").alias("node")).unionByName(edge_rows).distinct(), "crowded")
-    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+    give_back(spark)
+    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), node_bits, shared), "sets")
     first = written(components(_along(sets, "place").unionByName(_along(sets, "place2"))), "components")
+    give_back(spark)
     left = pairs.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     apart = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     if not crowded.isEmpty():
         own = sets.join(crowded, "node", "left_semi").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "items")
         apart = apart.unionByName(_across(written(own, "crowded_sets"))).distinct()
     last = written(components(_stars(first).unionByName(_confirmed(apart, sets))), "components")
+    give_back(spark)
     placed = nodes.select("node", "least", "size").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = written(placed.join(least, "component").select("node", "size", "component_id"), "classes")

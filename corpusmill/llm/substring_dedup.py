@@ -30,8 +30,6 @@ WINDOW = 35
 ROUNDS = 4
 #: Names or windows that a task holds before it sends them.
 FLUSH = 1 << 20
-#: Bits of the broadcast bitmap of repeated names (16 MB).
-NAME_BITS = 1 << 27
 
 
 class Parse:
@@ -285,13 +283,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("key", F.xxhash64("doc_id", "text"))
     bits = min(20, max(6, int(np.ceil(np.log2(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))))
-    known = bitmap(repeated_names(docs, bits), "name", NAME_BITS)
+    names = written(repeated_names(docs, bits), "names")
+    known = bitmap(names, "name", names.count())
     sent = written(_sent(docs, known, bits), "windows")
     verdicts = sent.where("block >= 0").select("block", "src", "h1", "h2", "twice").groupBy("block").applyInArrow(_verdicts, "src long, block long, n long, bits binary")
     places = sent.where("block < 0").select("src", "keys", "counts", "pos", "index")
     spans = places.groupBy("src").cogroup(verdicts.groupBy("src")).applyInArrow(_spans, "key long, begins binary, ends binary")
     spans = written(spans.dropDuplicates(["key"]), "spans")
-    touched = spark.sparkContext.broadcast(bitmap(spans, "key"))
+    touched = spark.sparkContext.broadcast(bitmap(spans, "key", spans.count()))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
     kind = "doc_id long, n_words long, n_removed long, text string"
 

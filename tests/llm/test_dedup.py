@@ -141,3 +141,38 @@ def test_repeats_equal_brute_force(spark):
 def test_planes():
     x = np.array([1, 1 << 40, 7], np.uint64)
     assert (from_planes(planes(x), np.uint64) == x).all() and len(from_planes(planes(x[:0]), np.uint64)) == 0
+
+
+def test_candidates_have_the_longest_common_prefixes():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2, (400, N.DEPTH))
+    sig = sig[np.lexsort(sig.T[::-1])]
+    head = (sig[:, : N.MIN_DEPTH] @ (1 << np.arange(N.MIN_DEPTH))).astype(np.int64)
+    rest = np.zeros(len(sig), np.int64)
+    for k in range(N.MIN_DEPTH, N.DEPTH):
+        rest = rest << 16 | sig[:, k]
+
+    def prefix(i, j):
+        same = sig[i] == sig[j]
+        n = int(np.argmin(same)) if not same.all() else N.DEPTH
+        return n if n >= N.MIN_DEPTH else 0
+
+    shared = N.common_prefixes(head, rest)
+    assert shared.tolist() == [prefix(i, i + 1) for i in range(len(sig) - 1)]
+    want = set()
+    for i in range(len(sig)):
+        near = [j for j in range(max(0, i - N.REACH), min(len(sig), i + N.REACH + 1)) if j != i]
+        depth = max(N.MIN_DEPTH, sorted([prefix(i, j) for j in near] + [0] * (2 * N.REACH - len(near)))[-N.REACH])
+        want |= {(min(i, j), max(i, j)) for j in near if prefix(i, j) >= depth}
+    got = {(int(i), int(i) + d) for d, found in N.candidates(shared) for i in found}
+    assert got == want and N.candidates(np.zeros(0, np.int64))[0][1].tolist() == []
+
+
+def test_sets_with_the_same_hash_are_told_apart(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(30):
+        own = [f"w{rng.randrange(500)}" for _ in range(60)]
+        texts += [" ".join(own), " ".join(own), " ".join([*own, f"t{k}"])]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(t.split() for t in texts)}
+    assert rows(N.near_duplicates(documents(spark, texts), node_bits=3), "doc_id", "component_id") == sorted(components_of(sets).items())
