@@ -13,19 +13,30 @@ from corpusmill.llm.substring_dedup import from_planes, planes, without_repeats
 
 def test_filters_merge_without_loss():
     rng = np.random.default_rng(1)
-    parts = [rng.integers(0, 50, 400) * np.int64(0x0123456789ABCDEF) for _ in range(5)]
-    for bits in (0, 3):
-        blocks = collections.defaultdict(lambda: ([], []))
-        for p in parts:
-            for b, r, c in E.build_filter(p, bits):
-                blocks[b][0].append(r)
-                blocks[b][1].append(c)
-        got = {}
-        for b, (r, c) in blocks.items():
-            rest, many = E.merge_blocks(r, c)
-            got |= {int((int(x) | (b << (64 - bits) if bits else 0))): int(n) for x, n in zip(rest, many, strict=True)}
-        want = collections.Counter(int(x) & (1 << 64) - 1 for p in parts for x in p)
-        assert got == want
+    for width, step in ((64, 0x0123456789ABCDEF), (10, 1), (7, 1)):
+        parts = [rng.integers(0, 100, 400) ** 2 // 99 * np.int64(step) for _ in range(5)]
+        parts[0] = np.concatenate([parts[0], np.repeat(parts[0][:1], 3000)])  # a count of several slots
+        for bits in (0, 3):
+            blocks = collections.defaultdict(list)
+            for p in parts:
+                for block, *made in E.build_filters(p, bits, width):
+                    blocks[block].append(made)
+            got = {}
+            for block, made in blocks.items():
+                values, many = E.merge_filters(made, bits, width)
+                assert (np.diff(values) > 0).all()
+                got |= {int(x) | (block << (width - bits) if bits else 0): int(n) for x, n in zip(values, many, strict=True)}
+            assert got == collections.Counter(int(x) & (1 << 64) - 1 for p in parts for x in p)
+
+
+def test_runs_stand_at_or_behind_their_quotient():
+    values, counts = np.array([0, 1, 2, 9, 10, 31], np.uint64), np.array([1, 20, 1, 1, 2, 1])
+    occupied, ends, counter, held = E.slots(values, counts, 3, 2)
+    # Quotients 0, 2 and 7; the count of 1 is 19 = 3 + 0 * 4 + 1 * 16, in three slots.
+    assert list(held) == [0, 1, 3, 0, 1, 2, 1, 2, 1, 3] and np.unpackbits(np.frombuffer(occupied, np.uint8)).tolist() == [1, 0, 1, 0, 0, 0, 0, 1]
+    assert np.flatnonzero(np.unpackbits(np.frombuffer(ends, np.uint8))).tolist() == [5, 8, 9] and np.flatnonzero(np.unpackbits(np.frombuffer(counter, np.uint8))).tolist() == [2, 3, 4, 8]
+    back = E.read_slots(occupied, ends, counter, held, 3, 2)
+    assert back[0].tolist() == values.tolist() and back[1].tolist() == counts.tolist()
 
 
 def test_exact_duplicates(spark):
