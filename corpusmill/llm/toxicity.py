@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.llm.kernels import arrow_map, byte_values, cache, chunks, kept, released, text_bytes, word_hashes, words
-from corpusmill.shared import small_batches, written
+from corpusmill.shared import give_back, small_batches, written
 
 U = np.uint64
 BITS = 16
@@ -261,8 +261,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if 0 < fits < len(sizes):
         table = table.where(F.col("draw") <= sizes["draw"][fits - 1].as_py())
     got = table.orderBy("draw", "doc_id", "n_words").limit(4 * MAX_ROWS).toArrow()
-    ids = [np.frombuffer(x, U) for x in got["ids"].to_pylist()]
-    return fit(ids, got["toxic"].to_numpy().astype(np.int64))
+    model = fit([np.frombuffer(x, U) for x in got["ids"].to_pylist()], got["toxic"].to_numpy().astype(np.int64))
+    del got
+    give_back(spark)
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:

@@ -260,3 +260,28 @@ def test_contamination_by_items_that_share_a_template(spark):
     texts = [" ".join(template), " ".join(template[3:16]), " ".join(template[3:15]), items[7][1], " ".join(i[1] for i in items), *(" ".join(rng.choice(items)[1].split()[rng.randrange(20) :]) for _ in range(20))]
     got = rows(contamination(documents(spark, texts), spark.createDataFrame(items, "item_id string, text string")), "doc_id", "n_words", "n_hit", "n_items")
     assert got == brute_contamination(texts, items) and got[0][3] == 40
+
+
+def test_pipeline_of_nothing_and_of_hard_rows(spark, tmp_path):
+    """Null texts and ids, an empty table, rows that repeat, columns named as operators name theirs."""
+    hard = documents(spark, [*HARD, *HARD, "x y z"], [*range(len(HARD)), *range(len(HARD)), None])
+    for name, own in (("hard", hard), ("none", hard.limit(0))):
+        own.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(0, 0), (1, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([(1, "a b c d e"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+    got = corpus_pipeline.run(spark, str(tmp_path / "hard")).collect()
+    kept = sorted((r["doc_id"] for r in got if r["start"] == 0), key=lambda x: (x is not None, x))
+    # Of equal texts the last one stays, of rows that repeat one; "a b c d e" is the benchmark.
+    norm = [(t or "").translate(LOWER) for t in HARD]
+    want = [max(i for i, u in enumerate(norm) if u == t) for t in dict.fromkeys(norm) if t != "a b c d e"]
+    assert kept == [None, *sorted(want)]
+
+
+def test_a_row_is_not_lost_by_another_with_its_hash(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "row_key", lambda: F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d")], "doc_id long, text string")
+    gone = spark.createDataFrame([(2, 7), (None, 7)], "doc_id long, row_key long")
+    assert rows(corpus_pipeline._joined(docs, gone, "left_anti"), "doc_id") == [(1,), (3,)]
+    decisions = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 7, True), (3, 7, True), (None, 7, True)], "doc_id long, row_key long, kept boolean")
+    assert rows(corpus_pipeline._one_of_each(docs.unionByName(docs.where("doc_id = 3")), decisions), "doc_id") == [(None,), (1,), (3,)]
