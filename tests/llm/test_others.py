@@ -285,3 +285,50 @@ def test_a_row_is_not_lost_by_another_with_its_hash(spark, monkeypatch):
     assert rows(corpus_pipeline._joined(docs, gone, "left_anti"), "doc_id") == [(1,), (3,)]
     decisions = spark.createDataFrame([(1, 7, True), (2, 7, False), (3, 7, True), (3, 7, True), (None, 7, True)], "doc_id long, row_key long, kept boolean")
     assert rows(corpus_pipeline._one_of_each(docs.unionByName(docs.where("doc_id = 3")), decisions), "doc_id") == [(None,), (1,), (3,)]
+
+
+def test_chat_round_trip_over_parts(spark):
+    """Texts split anywhere, with placeholders between: no split makes a control string, and no placeholder is learned."""
+    rng = random.Random(21)
+    pieces = ["</s>", "<s>", "[TEXT]", "[/INST]", "[IMAGE]", "[AUDIO]", "\\", "<", "/s>", "[", "IMAGE]", "a", "é", "\n", "$1"]
+    data, want = [], {}
+    for c in range(80):
+        turns, text, loss = [], "", ""
+        for t in range(rng.randrange(1, 4)):
+            role, parts, own = rng.choice(["user", "assistant"]), [], ""
+            for _ in range(rng.randrange(7)):
+                if rng.random() < 0.3:
+                    kind = rng.choice(["image", "audio", "document"])
+                    parts.append((kind, None, f"r{c}", None))
+                    own += "\0" + kind
+                else:
+                    x = "".join(rng.choice(pieces) for _ in range(rng.randrange(4)))
+                    cut = rng.randrange(len(x) + 1)
+                    parts += [("text", x[:cut], None, None), ("text", x[cut:], None, None)]
+                    own += x
+            turns.append((c, t, role, parts))
+            text += role + "\n" + own + "\n"
+            loss += re.sub("\0(image|audio|document)", "", own) if role == "assistant" else ""
+        data += turns
+        want[c] = (len(turns), text, loss, sum(p[0] != "text" for t in turns for p in t[3]))
+    df = spark.createDataFrame(data, f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    made = C.format_conversations(df)
+    back = {r["conv_id"]: r for r in C.read_back(made).collect()}
+    whole = {r["conv_id"]: r for r in made.collect()}
+    for c, (n, text, loss, holes) in want.items():
+        turns = back[c]["turns"]
+        assert len(turns) == n and "".join(back[c]["learned"]) == loss and len(whole[c]["attachments"]) == holes
+        plain = re.sub("\0(image|audio|document)", lambda m: C.PLACEHOLDERS[m[1]], text)
+        assert "".join(f"{t['role']}\n{t['text']}\n" for t in turns) == plain
+        at = 0  # the mask alone: learned characters are text, the others placeholders
+        for t, mask in zip(re.findall(r".*?</s>", whole[c]["formatted"], re.DOTALL), whole[c]["mask"], strict=True):
+            at = mask["start"]
+            for r in mask["runs"]:
+                assert not re.search(r"(?<!\\)" + C.HOLE, t[at : at + r["text"]]) and (not r["hole"] or re.fullmatch(C.HOLE, t[at + r["text"] :][: r["hole"]]))
+                at += r["text"] + r["hole"]
+            assert t[at:] == "</s>"
+
+
+def test_tokens_by_a_rule(spark):
+    df = spark.createDataFrame([(1, 0, "user", [("text", "it's 12, ok?", None, None), ("image", None, "x", None)])], f"conv_id long, turn long, role string, parts array<{C.PART}>")
+    assert C.format_conversations(df, C.pretokens).head()["n_tokens"] == 8 + 576
