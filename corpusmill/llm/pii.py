@@ -11,6 +11,7 @@ disguise are not rewritten, as the transducers would copy them.
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 
 import numpy as np
@@ -22,10 +23,12 @@ from corpusmill.llm.kernels import arrow_map, byte_values, text_bytes, word_hash
 
 # The base patterns.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # behind a digit it has begun before
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
+_LOCAL_CHARACTERS = string.ascii_letters + string.digits + "._%+-"
+_AFTER_AT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 # Characters that look like ASCII ones.
 CYRILLIC = ("аеорсухіјѕкмтвнАЕОРСУХІЈЅКМТВН", "aeopcyxijskmtbhAEOPCYXIJSKMTBH")
@@ -51,11 +54,17 @@ _LOW_LOOKS, _HIGH_LOOKS = re.compile("[" + re.escape("".join(c for c in _LOOKALI
 _NUMBER = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DIGITS = re.compile(rf"(?<![^\W_])(?:plus[\s\-]+)?(?:(?:{_NUMBER}|[0-9])[\s,\-]+){{{MIN_SPELLED - 1},}}(?:{_NUMBER}|[0-9])(?![^\W_])", re.IGNORECASE)
 _DIGIT = re.compile(rf"plus|{_NUMBER}|[0-9]", re.IGNORECASE)
-_AT = r"\s*[\[({<]\s*(?:at|@|arroba|arobase)\s*[\])}>]\s*|\s+(?:at|arroba|arobase)\s+|_at_|\s+@\s*|@\s+"
-_DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|punto|point)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|_dot_"
-_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*(?P<at>@|{_AT})[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
-_NUMBERS = re.compile(rf"[0-9]+(?:(?:\.|{_DOT})[0-9]+){{3}}", re.IGNORECASE)
-_JOINT = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.IGNORECASE)
+_DOT = r"(?:\s*+[\[({<]\s*+(?:dot|\.|punkt|punto|point)\s*+[\])}>]\s*+|\s++(?:dot|punkt|punto|point)\s++|_dot_)"
+#: The same, read from the end.
+_TOD = r"(?:\s*+[\])}>]\s*+(?:tod|\.|tknup|otnup|tniop)\s*+[\[({<]\s*+|\s++(?:tod|tknup|otnup|tniop)\s++|_tod_)"
+#: An @ in its disguises, without the white space around it.
+_AT = re.compile(r"[\[({<]\s*+(?:at|@|arroba|arobase)\s*+[\])}>]|(?<=\s)(?:at|arroba|arobase)(?=\s)|_at_|@", re.IGNORECASE)
+#: What stands before an @, from there to the left: an underscore may be part of a disguise.
+_LOCAL = re.compile(rf"(?:[a-z0-9%+-]|_(?!tod_|ta_))++(?:(?:\.|{_TOD})(?:[a-z0-9%+-]|_(?!tod_|ta_))++)*(?![a-z0-9._%+-])", re.IGNORECASE | re.ASCII)
+_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)+", re.IGNORECASE)
+_NUMBERS = re.compile(rf"(?<![0-9])[0-9]++(?:(?:\.|{_DOT})[0-9]++){{3}}", re.IGNORECASE)
+_STOP = re.compile(_DOT, re.IGNORECASE)
+_SPACES = re.compile(r"\s*")
 _BRACKETS = re.compile(r"[\[({<]\s*(?:\.|@|at|arroba|arobase)\s*[\])}>]|_at_|\s@|@\s", re.IGNORECASE)
 #: "AT" and "At", which need no disguised full stop as "at" does.
 _CAPITAL_AT = re.compile(r"\s(?!(?:at|arroba|arobase)\s)(?i:at|arroba|arobase)\s+[A-Za-z0-9-]+\.")
@@ -72,11 +81,33 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The leftmost non-overlapping matches of EMAIL, each @ looked at once.
+
+    A match has one @ and begins as far left of it as its characters go, but not
+    before the last match ends; searching from the left would read a long run of
+    such characters again from each of them.
+    """
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        domain = _AFTER_AT.match(text, at + 1)
+        if domain:
+            # As many characters as the text between has: the run before the @, from the right.
+            begin = len(text[last:at].rstrip(_LOCAL_CHARACTERS)) + last
+            if begin < at:
+                out.append((begin, domain.end()))
+                last = domain.end()
+        else:
+            last = max(last, at + 1)
+        at = text.find("@", max(at + 1, last))
+    return out
+
+
 def identifiers(text: str) -> list[tuple[int, int, int]]:
     """Kind, start and end of the spans of the base patterns, by kind, then start."""
     found = []
     if "@" in text:
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+        found += [(0, a, b) for a, b in emails(text)]
     found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(_small(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -129,17 +160,35 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Disguised @ and full stops of what reads as an address then; each @ is looked at once, to both sides."""
+    edits, last, n, back = [], 0, len(text), text[::-1]
+    for m in _AT.finditer(text):
+        a, b = m.span()
+        if a < last:
+            continue
+        if text[a] != "_":
+            a, b = len(text[last:a].rstrip()) + last, b + len(_SPACES.match(text, b)[0])
+        domain = _DOMAIN.match(text, b)
+        local = domain and _LOCAL.match(back, n - a)
+        if not local or n - local.end() < last:
+            continue
+        begin, word = n - local.end(), text[a:b].strip()
+        stops = [(j.start(), j.end(), ".") for x, y in ((begin, a), (b, domain.end())) for j in _STOP.finditer(text, x, y)]
+        if text[a:b] == "@" and not stops:
+            continue
+        if word in ("at", "arroba", "arobase") and not stops:
+            continue  # "at" between words needs a disguised full stop too
+        edits += [*stops, *([(a, b, "@")] if text[a:b] != "@" else [])]
+        last = domain.end()
+    return edits
+
+
 def _joints(text: str) -> list[tuple[int, int, str]]:
-    """Disguised @ and full stops inside what reads as an address then."""
-    edits = []
-    for pattern in (_MAIL, _NUMBERS):
-        for m in pattern.finditer(text):
-            own = [(j.start(), j.end(), "@" if j["at"] else ".") for j in _JOINT.finditer(text, m.start(), m.end())]
-            if pattern is _MAIL and not m["at"].strip("@") and not own:
-                continue
-            if pattern is _MAIL and m["at"].strip() in ("at", "arroba", "arobase") and not any(x[2] == "." for x in own):
-                continue  # "at" between words needs a disguised full stop too
-            edits += own
+    """Disguised @ and full stops inside what reads as an address or as four numbers then."""
+    edits = _addresses(text)
+    for m in _NUMBERS.finditer(text):
+        edits += [(j.start(), j.end(), ".") for j in _STOP.finditer(text, m.start(), m.end())]
     edits.sort()
     return [e for k, e in enumerate(edits) if not k or e[0] >= edits[k - 1][1]]
 

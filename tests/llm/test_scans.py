@@ -165,3 +165,54 @@ def test_gated_scans_equal_ungated_ones():
         found += bool(want)
         assert P.disguised(text) == want, text
     assert found > 100
+
+
+def test_base_spans_of_personal_data_equal_the_patterns():
+    rng = random.Random(17)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    parts = ["a", "b.c", "_", "@", "@", ".", "..", "-", "%", "+", "1", "12", "255", "256", "000", " ", "  ", "4111111111111111", "4111 1111 1111 1111", "-1111", "(", ")", "é", "\n", "com", ".com", "0.0.0.1", "+1", "5550"]
+
+    def luhn(digits):
+        return sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1])) % 10 == 0
+
+    found = [0] * 4
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        want = [(0, *m.span()) for m in email.finditer(text)]
+        want += [(1, *m.span()) for m in ip.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+        digits = lambda m: re.sub("[^0-9]", "", m[0])
+        want += [(2, *m.span()) for m in card.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+        want += [(3, *m.span()) for m in phone.finditer(text) if 8 <= len(digits(m)) <= 15]
+        assert P.identifiers(text) == want, text
+        for k, *_ in want:
+            found[k] += 1
+    assert min(found) > 100
+
+
+def test_rewritten_spans_map_back():
+    """What a span of the rewritten text came from reads, rewritten alone, as the same identifier."""
+    rng = random.Random(18)
+    parts = ["john", "ехample", "com", " at ", " [at] ", "(dot)", " dot ", "_at_", "_dot_", "@", ".", "one ", "FÜNF ", "4 ", "plus ", "​", "192", "[.]", "１", " ", "é", "x y"]
+    found = 0
+    for _ in range(12000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(2, 20)))
+        for kind, a, b in P.disguised(text):
+            found += 1
+            assert 0 <= a < b <= len(text) and kind in {k for k, s, e in P.scan(text[a:b]) if (s, e) == (0, b - a)} | {k for k, *_ in P.disguised(text[a:b], True, True)}
+    assert found > 300
+
+
+LONG = {
+    "a chain of dots": "a" + "_dot_a" * 100_000, "a chain of words": "a" + " dot a" * 100_000, "a chain before an at": "a" + " dot a" * 50_000 + " at b dot c", "signs": "a@" * 100_000, "a run": "a" * 300_000 + " x@y.z",
+    "digits": "1" * 300_000, "ats": "a at " * 100_000, "spaces": " " * 300_000 + "@" + " " * 300_000, "number words": "one " * 100_000, "underscores": "a" + "_" * 200_000 + "@b [dot] c", "plus": "+1 " * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    P.scan(LONG[name])
+    assert time.process_time() - began < 5
