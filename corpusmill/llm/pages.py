@@ -4,15 +4,20 @@ Every text belongs to the path of tags from the root to its element. Text length
 and punctuation are summed by path and divided by the number of its elements;
 both ratios are smoothed along the page, fused into one score, and the texts of
 paths above a share of the mean score are the page's content nodes. The article
-is the element that holds them: all its blocks count, short ones too, without
-the parts that are marked as something else.
+is the element that holds them, with the headings and paragraphs before it: all
+its blocks count, short ones too. What is marked as something else by its class,
+id or role goes, but where the content nodes say that it is most of the article.
+
+Parsing and selection take time and memory in proportion to the page: paths are
+numbered, open elements are found by tag, and sums over an element's texts are
+differences of running sums.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,9 @@ LAYOUT = frozenset("with has no without free".split())
 #: A header of one of these is the article's own.
 OWN = frozenset("article post entry story content".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？¿¡]")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|([^<]+|<)", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|([^<]+)", re.DOTALL)
+#: A tag up to where it can't go on: its end, a quote that does not end, or the end of the page.
+_BROKEN = re.compile(r"<(?:\"[^\"]*\"|'[^']*'|[^'\">])*+", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.\-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -52,14 +59,42 @@ RADIUS, SHARE = 2, 0.5
 ARTICLE, INSIDE = 0.5, 0.8
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     tag: str
     parent: int
-    path: str
+    path: int
+    linked: bool = False
+    within: bool = False
     out: bool = False
     marked: str = ""
-    children: list[int] = field(default_factory=list)
+
+
+class Open:
+    """The open elements, and where those of each tag, and all blocks, stand among them."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[int, str]] = [(0, "")]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, element: int, tag: str) -> None:
+        self.where.setdefault(tag, []).append(len(self.items))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.items))
+        self.items.append((element, tag))
+
+    def last(self, *tags: str) -> int:
+        """The innermost of some tags; 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def cut(self, at: int) -> None:
+        """Close the elements from ``at`` on."""
+        while len(self.items) > at:
+            _, tag = self.items.pop()
+            self.where[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
 
 
 def _mark(attributes: str) -> str:
@@ -87,77 +122,79 @@ class Page:
     """Elements and texts of a page; a text is (element, block number, decoded text)."""
 
     def __init__(self, source: str) -> None:
-        self.elements = [Element("", -1, "")]
+        self.elements = [Element("", -1, 0)]
+        self.paths: dict[tuple[int, str], int] = {}
         self.texts: list[tuple[int, int, str]] = []
         self.block = 0
-        open_ = [0]
-        at, n = 0, len(source)
+        self.open = Open()
+        at, n, plain = 0, len(source), 0
         while at < n:
-            m = _TOKEN.match(source, at)
-            if m is None:  # a tag that does not end
-                m_text, at = source[at], at + 1
-                self.texts.append((open_[-1], self.block, m_text))
+            if source[at] == "<" and at < plain:  # inside a tag that does not end
+                m = None
+            else:
+                m = _TOKEN.match(source, at)
+            if m is None:
+                if at >= plain:
+                    plain = _BROKEN.match(source, at).end()
+                end = source.find("<", at + 1)
+                end = n if end < 0 else end
+                self._text(source[at:end])
+                at = end
                 continue
             at = m.end()
             if m[4] is not None:
-                self.texts.append((open_[-1], self.block, html.unescape(m[4])))
+                self._text(html.unescape(m[4]))
             elif m[2] is not None:
                 tag = m[2].lower()
                 if m[1]:
-                    self._end(tag, open_)
+                    self._end(tag)
                 else:
-                    at = self._start(tag, m[3], open_, source, at)
+                    at = self._start(tag, m[3], source, at)
+
+    def _text(self, text: str) -> None:
+        self.texts.append((self.open.items[-1][0], self.block, text))
 
-    def _start(self, tag: str, attributes: str, open_: list[int], source: str, at: int) -> int:
+    def _start(self, tag: str, attributes: str, source: str, at: int) -> int:
+        stack = self.open
         if tag in BLOCKS:
             self.block += 1
-            for k in range(len(open_) - 1, 0, -1):
-                own = self.elements[open_[k]].tag
-                if own == "p":
-                    del open_[k:]
-                    break
-                if own in BLOCKS:
-                    break
+            if stack.blocks and stack.items[stack.blocks[-1]][1] == "p":
+                stack.cut(stack.blocks[-1])
         if tag in CLOSED_BY:
             closes, within = CLOSED_BY[tag]
-            for k in range(len(open_) - 1, 0, -1):
-                own = self.elements[open_[k]].tag
-                if own in within:
-                    break
-                if own in closes:
-                    del open_[k:]
-                    break
+            own = stack.last(*closes)
+            if own > stack.last(*within):
+                stack.cut(own)
         if tag == "br":
-            self.texts.append((open_[-1], self.block, " "))
+            self._text(" ")
         if tag in VOID:
             return at
-        up = self.elements[open_[-1]]
-        inside = up.path.split("/")
-        out = up.out or tag in NEVER or tag == "header" and not {"article", "main"} & set(inside)
-        marked = _mark(attributes) if attributes and tag not in ("html", "body", "main") else ""
+        parent = stack.items[-1][0]
+        up = self.elements[parent]
+        out = up.out or tag in NEVER or tag == "header" and not up.within
+        marked = _mark(attributes) if attributes and tag not in ("html", "body", "main") and tag not in HEADINGS else ""
         if tag == "article" and marked == "other":
             marked = ""
         if tag == "form":
             marked = marked or "other"
-        self.elements.append(Element(tag, open_[-1], f"{up.path}/{tag}", out, marked))
-        up.children.append(len(self.elements) - 1)
+        path = self.paths.setdefault((up.path, tag), len(self.paths) + 1)
+        self.elements.append(Element(tag, parent, path, up.linked or tag == "a", up.within or tag in ("article", "main"), out, marked))
         if tag in RAW:
+            if source.find(">", at) < 0:
+                return len(source)
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
             return end.end() if end else len(source)
         if not attributes.rstrip().endswith("/") or tag in BLOCKS:
-            open_.append(len(self.elements) - 1)
+            stack.push(len(self.elements) - 1, tag)
         return at
 
-    def _end(self, tag: str, open_: list[int]) -> None:
+    def _end(self, tag: str) -> None:
+        stack = self.open
         if tag in BLOCKS:
             self.block += 1
-        for k in range(len(open_) - 1, 0, -1):
-            own = self.elements[open_[k]].tag
-            if own == tag:
-                del open_[k:]
-                return
-            if tag not in BLOCKS and own in BLOCKS:
-                return
+        at = stack.last(tag)
+        if at and (tag in BLOCKS or not stack.blocks or stack.blocks[-1] < at):
+            stack.cut(at)
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -169,74 +206,102 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 
 def content_nodes(page: Page, texts: list[tuple[int, int, str]]) -> np.ndarray:
     """Whether each text is on a path above the threshold."""
-    paths: dict[str, list[float]] = {}
-    elements: dict[str, set[int]] = {}
+    sums: dict[int, list[float]] = {}
+    elements: dict[int, set[int]] = {}
     for e, _, t in texts:
         own = page.elements[e]
-        sums = paths.setdefault(own.path, [0.0, 0.0])
-        if "/a/" not in f"{own.path}/":
-            sums[0] += len(t.strip())
-            sums[1] += len(PUNCTUATION.findall(t))
+        total = sums.setdefault(own.path, [0.0, 0.0])
+        if not own.linked:
+            total[0] += len(t.strip())
+            total[1] += len(PUNCTUATION.findall(t))
         elements.setdefault(own.path, set()).add(e)
-    length = np.array([paths[page.elements[e].path][0] / len(elements[page.elements[e].path]) for e, _, _ in texts])
-    marks = np.array([paths[page.elements[e].path][1] / len(elements[page.elements[e].path]) for e, _, _ in texts])
+    paths = [page.elements[e].path for e, _, _ in texts]
+    length = np.array([sums[p][0] / len(elements[p]) for p in paths])
+    marks = np.array([sums[p][1] / len(elements[p]) for p in paths])
     fused = _smooth(length) * (1 + _smooth(marks))
     return (fused >= SHARE * fused.mean()) & (fused > 0)
 
 
-def _within(page: Page) -> list[range]:
-    """The elements under each element, itself included: elements are numbered in page order."""
-    last = list(range(len(page.elements)))
-    for k in range(len(page.elements) - 1, 0, -1):
-        up = page.elements[k].parent
-        last[up] = max(last[up], last[k])
-    return [range(k, e + 1) for k, e in enumerate(last)]
+class Sums:
+    """Sums over the texts under each element: elements are numbered in page order."""
 
+    def __init__(self, page: Page) -> None:
+        n = len(page.elements)
+        self.n, self.last = n, list(range(n))
+        for k in range(n - 1, 0, -1):
+            up = page.elements[k].parent
+            self.last[up] = max(self.last[up], self.last[k])
 
-def _is_article(e: Element) -> bool:
-    return e.tag in ("article", "main", "h1") and not e.marked and not e.out
+    def running(self, own: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0.0], np.cumsum(np.bincount(own, values, self.n))])
+
+    def under(self, total: np.ndarray, k: int) -> float:
+        return float(total[self.last[k] + 1] - total[k])
 
 
 def main_text(source: str | None) -> str:
     """The article's blocks, one a line; empty if there is none."""
     page = Page(source or "")
-    under = _within(page)
-    for k, e in enumerate(page.elements[1:], 1):
-        e.out |= page.elements[e.parent].out
-        # What wraps the article is not what its name says; readers' comments may be articles to the page.
-        e.out |= bool(e.marked) and (e.marked != "other" or not any(_is_article(page.elements[i]) for i in under[k]))
-    texts = [t for t in page.texts if not page.elements[t[0]].out]
+    sums, elements = Sums(page), page.elements
+    articles = np.concatenate([[0], np.cumsum([e.tag in ("article", "main", "h1") and not e.marked and not e.out for e in elements])])
+    aside = [False] * len(elements)  # under an element that is marked as something else
+    for k, e in enumerate(elements[1:], 1):
+        e.out |= elements[e.parent].out
+        aside[k] = aside[e.parent]
+        if e.marked in ("hidden", "readers"):  # readers' comments may be articles to the page
+            e.out = True
+        elif e.marked and articles[sums.last[k] + 1] == articles[k]:  # what wraps the article is not what its name says
+            aside[k] = True
+    every = [t for t in page.texts if not elements[t[0]].out]
+    texts = [t for t in every if not aside[t[0]]]
+    own = np.array([t[0] for t in texts], np.int64)
     weight = np.array([len(t[2].strip()) for t in texts], float)
-    if not weight.sum():
-        return ""
-    weight = weight * content_nodes(page, texts)
-    if not weight.sum():
-        return ""
-    own = np.array([t[0] for t in texts])
-
-    def share(k: int) -> float:
-        return float(weight[(own >= under[k].start) & (own < under[k].stop)].sum() / weight.sum())
-
-    named = [k for k, e in enumerate(page.elements) if e.tag in ("article", "main") and not e.out and share(k) >= ARTICLE]
+    weight = weight * content_nodes(page, texts) if weight.any() else weight
+    if not weight.any():
+        # Of an article the marks would leave nothing: there the ratios decide.
+        texts = [t for t in every if elements[t[0]].within]
+        aside = [a and not e.within for a, e in zip(aside, elements, strict=True)]
+        own = np.array([t[0] for t in texts], np.int64)
+        weight = np.array([len(t[2].strip()) for t in texts], float)
+        weight = weight * content_nodes(page, texts) if weight.any() else weight
+        if not weight.any():
+            return ""
+    chosen = sums.running(own, weight)
+    share = lambda k: sums.under(chosen, k) / chosen[-1]
+    named = [k for k, e in enumerate(elements) if e.tag in ("article", "main") and not e.out and share(k) >= ARTICLE]
     best = max(named, key=lambda k: (share(k) >= INSIDE, k), default=0)
+    children: dict[int, list[int]] = {}
+    for k, e in enumerate(elements[1:], 1):
+        children.setdefault(e.parent, []).append(k)
+    taken = np.zeros(len(elements), bool)
     if not named:
         while True:
-            inner = [k for k in page.elements[best].children if page.elements[k].tag in HOLDERS and not page.elements[k].out and share(k) >= INSIDE]
-            if not inner:
+            inner = next((k for k in children.get(best, []) if elements[k].tag in HOLDERS and not elements[k].out and share(k) >= INSIDE), None)
+            if inner is None:
                 break
-            best = inner[0]
-    linked = set()
+            for k in reversed([k for k in children[best] if k < inner and not elements[k].out]):
+                if elements[k].tag not in HEADINGS and elements[k].tag != "p":
+                    break
+                taken[k : sums.last[k] + 1] = True  # the title, and what leads in
+            best = inner
+    taken[best : sums.last[best] + 1] = True
     if not named:
-        for k in page.elements[best].children:
-            e = page.elements[k]
-            if e.tag in ("div", "section", "ul", "ol", "table") and not share(k):
-                inner = [t for t in texts if t[0] in under[k]]
-                links = sum(len(t[2].strip()) for t in inner if "/a/" in f"{page.elements[t[0]].path}/")
-                if inner and 2 * links > sum(len(t[2].strip()) for t in inner):
-                    linked |= set(under[k])
+        length = np.array([len(t[2].strip()) for t in texts], float)
+        whole, links = sums.running(own, length), sums.running(own, length * np.array([elements[t[0]].linked for t in texts]))
+        for k in children.get(best, []):
+            if elements[k].tag in ("div", "section", "ul", "ol", "table") and not share(k) and 2 * sums.under(links, k) > sums.under(whole, k):
+                taken[k : sums.last[k] + 1] = False
+    # The second vote: what is marked stays out unless the ratios find most of the article in it.
+    if len(every) > len(texts):
+        own = np.array([t[0] for t in every], np.int64)
+        seen = sums.running(own, np.array([len(t[2].strip()) for t in every], float) * content_nodes(page, every))
+        for k, e in enumerate(elements):
+            if k > best and k <= sums.last[best] and aside[k] and not aside[e.parent] and sums.under(seen, k) >= ARTICLE * sums.under(seen, best) > 0:
+                for i in range(k, sums.last[k] + 1):
+                    aside[i] = False
     blocks: dict[int, list[str]] = {}
-    for e, b, t in texts:
-        if e in under[best] and e not in linked:
+    for e, b, t in every:
+        if taken[e] and not aside[e]:
             blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(b).split()) for b in blocks.values())
     return "\n".join(x for x in lines if x)
@@ -245,7 +310,8 @@ def main_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of ``pages``.
 
-    Null and empty html have an empty text, as have pages without an article.
+    Null and empty html have an empty text, as have pages without an article. A
+    task's memory grows with the longest page, however deep its elements are.
     Repeated rows give repeated rows; a null url stays null; other columns take
     no part, whatever their names.
     """

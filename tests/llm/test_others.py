@@ -332,3 +332,42 @@ def test_chat_round_trip_over_parts(spark):
 def test_tokens_by_a_rule(spark):
     df = spark.createDataFrame([(1, 0, "user", [("text", "it's 12, ok?", None, None), ("image", None, "x", None)])], f"conv_id long, turn long, role string, parts array<{C.PART}>")
     assert C.format_conversations(df, C.pretokens).head()["n_tokens"] == 8 + 576
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><div class='intro-banner'>" + "Many words, of the article. " * 20 + "</div></article>", ("Many words, of the article. " * 20).strip()),
+        ("<article><h1>T</h1><p>Short, text.</p><div class='banner'>" + "Many words, of the article. " * 20 + "</div></article>", "T\nShort, text.\n" + ("Many words, of the article. " * 20).strip()),
+        ("<div class='cookie-notice'>We use cookies, and that is all.</div>", ""),
+        ("<body><div><h1>Title</h1><p>A lead, in a sentence.</p><div class=body><p>" + "The text, in many sentences. " * 9 + "</p><p>" + "More of it, here. " * 9 + "</p></div></div></body>", "Title\nA lead, in a sentence.\n" + ("The text, in many sentences. " * 9).strip() + "\n" + ("More of it, here. " * 9).strip()),
+        ('<article><h1>T</h1><p>One, and more of it.</p><h2 id="discussion">Discussion</h2><p>Two, and more of it.</p></article>', "T\nOne, and more of it.\nDiscussion\nTwo, and more of it."),
+    ],
+)
+def test_marks_are_a_second_vote(page, want):
+    assert G.main_text(page) == want
+
+
+PAGES = {
+    "deep": "<div>" * 100_000 + "x, y. z", "paragraphs": "<p>" * 100_000 + "x", "unmatched ends": "<b>" * 100_000 + "x" + "</i>" * 100_000, "ends behind a block": "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000,
+    "no ends": "<a " * 200_000, "an open quote": "<a " * 100_000 + "'>", "signs": "<" * 200_000, "marked": "<div class=ad>" * 50_000 + "text, here.", "many children": "<div>" + "<div><a>x</a></div>" * 50_000 + "</div>", "items": "<ul>" + "<li>x" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_long_and_deep_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    G.main_text(PAGES[name])
+    assert time.process_time() - began < 6
+
+
+def test_a_deep_page_takes_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert G.main_text(PAGES["deep"]) == "x, y. z"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
