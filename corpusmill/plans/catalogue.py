@@ -190,7 +190,7 @@ _SUM = "CAST((CASE WHEN ord % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN ord % 3 = 0
 
 @query(f"WITH {DS} SELECT ord, {_SUM} AS passing FROM ds")
 def judge_criteria_sum(spark, sf):
-    return ds(spark, sf).select("ord", criteria_of(F.expr(_ANSWER), O.CRITERIA).cast("int").alias("passing"))
+    return ds(spark, sf).withColumn("raw", F.expr(_ANSWER)).select("ord", criteria_of(F.col("raw"), O.CRITERIA).cast("int").alias("passing"))
 
 
 @query(f"WITH {DS} SELECT ord FROM ds WHERE ord % 7 = 0 OR (ord % 7 <> 1 AND {_SUM} >= 3)")
@@ -258,20 +258,13 @@ def sample_id(spark, sf):
 
 # --- answers
 
-_QUOTED = "to_json(substr(text, 1, 40))"
-_WS_WHOLE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
-_WS = r"regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g')"
+_WS = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 
 def _whole_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("t"))
 
 
-def _json_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 40 characters only, as the SQL of its queries; the queries named _whole read all of a text."""
-    return _whole_text(spark, sf).withColumn("t", F.substring("t", 1, 40))
-
-
 def _q(c) -> F.Column:
     """A text as a JSON string."""
     return F.substring(F.to_json(F.struct(c.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
@@ -281,18 +274,12 @@ def _qa(d: DataFrame) -> DataFrame:
     q = _q(F.col("t"))
     raw = F.when(F.col("ord") % 4 == 0, F.concat(F.lit('{"qa_pairs": [{"question": '), q, F.lit(', "answer": " yes "}, {"question": 1, "answer": "x"}, {"question": "second", "answer": "no"}]}')))
     raw = raw.when(F.col("ord") % 4 == 3, F.lit("not json")).otherwise(F.concat(F.lit('{"qa_pairs": [{"question": '), q, F.lit(', "answer": "yes"}, {"question": "  ", "answer": "no"}]}')))
-    return d.select("ord", F.posexplode(question_pairs_of(raw)).alias("k", "p")).select("ord", "k", "p.question", "p.answer")
+    return d.withColumn("raw", raw).select("ord", F.posexplode(question_pairs_of(F.col("raw"))).alias("k", "p")).select("ord", "k", "p.question", "p.answer")
 
 
 @query(f"""SELECT doc_id AS ord, CAST(0 AS INT) AS k, {_WS} AS question, 'yes' AS answer FROM documents WHERE doc_id % 4 <> 3 AND {_WS} <> ''
  UNION ALL SELECT doc_id, CASE WHEN {_WS} <> '' THEN 1 ELSE 0 END, 'second', 'no' FROM documents WHERE doc_id % 4 = 0""")
 def json_qa_explode(spark, sf):
-    return _qa(_json_text(spark, sf))
-
-
-@query(f"""SELECT doc_id AS ord, CAST(0 AS INT) AS k, {_WS_WHOLE} AS question, 'yes' AS answer FROM documents WHERE doc_id % 4 <> 3 AND {_WS_WHOLE} <> ''
- UNION ALL SELECT doc_id, CASE WHEN {_WS_WHOLE} <> '' THEN 1 ELSE 0 END, 'second', 'no' FROM documents WHERE doc_id % 4 = 0""")
-def json_qa_whole(spark, sf):
     return _qa(_whole_text(spark, sf))
 
 
@@ -300,32 +287,22 @@ def _shapes(d: DataFrame) -> DataFrame:
     q, shape = _q(F.col("t")), F.col("ord") % 6
     raw = F.when(shape == 0, F.concat(F.lit('{"samples": [{"text": '), q, F.lit('}, {"text": 5}, "more"]}'))).when(shape == 1, F.concat(F.lit('{"samples": {"text": '), q, F.lit("}}")))
     raw = raw.when(shape == 2, F.concat(F.lit('{"generated_texts": ['), q, F.lit(', "more"]}'))).when(shape == 3, F.concat(F.lit('{"output": '), q, F.lit("}"))).when(shape == 4, F.concat(F.lit('{"sample": {"text": '), q, F.lit("}}"))).otherwise(F.lit('{"other": 1}'))
-    return d.select("ord", F.posexplode(sample_texts_of(raw)).alias("k", "text"))
-
-
-@query("SELECT doc_id AS ord, CAST(0 AS INT) AS k, substr(text, 1, 40) AS text FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT doc_id, 1, 'more' FROM documents WHERE doc_id % 6 IN (0, 2)")
-def json_samples_shapes(spark, sf):
-    return _shapes(_json_text(spark, sf))
+    return d.withColumn("raw", raw).select("ord", F.posexplode(sample_texts_of(F.col("raw"))).alias("k", "text"))
 
 
 @query("SELECT doc_id AS ord, CAST(0 AS INT) AS k, text FROM documents WHERE doc_id % 6 <> 5 UNION ALL SELECT doc_id, 1, 'more' FROM documents WHERE doc_id % 6 IN (0, 2)")
-def json_samples_whole(spark, sf):
+def json_samples_shapes(spark, sf):
     return _shapes(_whole_text(spark, sf))
 
 
 def _fenced(d: DataFrame) -> DataFrame:
     q = _q(F.col("t"))
     raw = F.when(F.col("ord") % 2 == 0, F.concat(F.lit("Sure!\n```json\n{\"text\": "), q, F.lit("}\n```\nDone {x}"))).otherwise(F.concat(F.lit("a { b [{\"text\": "), q, F.lit("}] c")))
-    return d.select("ord", F.element_at(sample_texts_of(raw), 1).alias("text"))
-
-
-@query("SELECT doc_id AS ord, substr(text, 1, 40) AS text FROM documents")
-def json_fenced(spark, sf):
-    return _fenced(_json_text(spark, sf))
+    return d.withColumn("raw", raw).select("ord", F.element_at(sample_texts_of(F.col("raw")), 1).alias("text"))
 
 
 @query("SELECT doc_id AS ord, text FROM documents")
-def json_fenced_whole(spark, sf):
+def json_fenced(spark, sf):
     return _fenced(_whole_text(spark, sf))
 
 
@@ -333,18 +310,17 @@ def _contrastive(d: DataFrame, a: F.Column, b: F.Column) -> DataFrame:
     way = F.col("ord") % 6
     raw = F.when(way == 0, F.concat(F.lit('{"civil": '), _q(a), F.lit(', "abusive": '), _q(b), F.lit("}"))).when(way == 1, F.concat(a, F.lit("\n---\n"), b)).when(way == 2, F.concat(F.lit("1. "), a, F.lit("\n2) "), b))
     raw = raw.when(way == 3, F.concat(F.lit("abusive: "), b, F.lit("\ncivil: "), a)).when(way == 4, F.concat(a, F.lit("\n\n"), b)).otherwise(F.lit("one line"))
-    return d.withColumn("pair", contrastive_pair_of(raw, ("civil", "abusive"))).where("pair IS NOT NULL").select("ord", F.col("pair")[0].alias("first"), F.col("pair")[1].alias("second"))
+    return d.withColumn("raw", raw).withColumn("pair", contrastive_pair_of(F.col("raw"), ("civil", "abusive"))).where("pair IS NOT NULL").select("ord", F.col("pair")[0].alias("first"), F.col("pair")[1].alias("second"))
 
 
-@query("SELECT doc_id AS ord, concat('bad ', CAST(doc_id AS VARCHAR)) AS first, concat('good ', CAST(doc_id AS VARCHAR)) AS second FROM documents WHERE doc_id % 6 <> 5")
+# The texts have no line that is a rule or begins with a number; where they have a blank line or a break, the
+# first two lines are a pair too.
+@query(
+    f"""WITH d AS (SELECT doc_id AS ord, {_WS} AS a, regexp_replace(concat('good ', text), '^\\s+|\\s+$', '', 'g') AS b FROM documents),
+ l AS (SELECT ord, list_filter(list_transform(string_split(concat(a, chr(10), chr(10), b), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM d)
+ SELECT ord, CASE ord % 6 WHEN 4 THEN l[1] ELSE a END AS first, CASE ord % 6 WHEN 4 THEN l[2] ELSE b END AS second FROM d JOIN l USING (ord) WHERE ord % 6 <> 5"""
+)
 def contrastive_parse_cascade(spark, sf):
-    n = F.col("ord").cast("string")
-    return _contrastive(_whole_text(spark, sf), F.concat(F.lit("bad "), n), F.concat(F.lit("good "), n))
-
-
-# No SQL: which form of answer is read depends on what lines the text has.
-@query()
-def contrastive_whole(spark, sf):
     return _contrastive(_whole_text(spark, sf), F.col("t"), F.concat(F.lit("good "), F.col("t")))
 
 
