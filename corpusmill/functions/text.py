@@ -34,9 +34,19 @@ def clean_generated(c: Column) -> Column:
     return strip(F.regexp_replace(bare, r"(?s)\A(?:\"(.*)\"|'(.*)'|[\"'])\z", "$1$2"))
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def tokens(c: Column) -> Column:
+    """The lower-case words between white space, in order; of ASCII texts by a pattern that costs less and says the same."""
+    low = F.lower(c)
+    return F.array_remove(F.when(is_ascii(c), F.split(low, r"[\s\x1c-\x1f]+")).otherwise(F.split(low, r"(?U)[\s\x1c-\x1f]+")), "")
+
+
 def words(c: Column) -> Column:
     """The distinct lower-case words between white space."""
-    return F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    return F.array_distinct(tokens(c))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.config import TaskSpec
 from corpusmill.functions.jsonparse import criteria_of
-from corpusmill.functions.text import draw, jaccard, not_blank
+from corpusmill.functions.text import draw, is_ascii, jaccard, not_blank
 from corpusmill.operators.similarity import SimilarityDeduplicator
 
 # Patterns of texts that tell their own label, in lower case.
@@ -38,7 +38,7 @@ class Filter(ABC):
 
     @abstractmethod
     def predicate(self) -> Column:
-        """True for the rows to keep, never null."""
+        """True for the rows to keep; a null keeps nothing. Conditions that could stand alone are joined by &, cheap ones first."""
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(self.predicate())
@@ -52,10 +52,8 @@ class BasicFilter(Filter):
 
     def predicate(self) -> Column:
         text = F.col("text")
-        keep = not_blank(text) & F.length(text).between(self.min_length, self.max_length)
-        if self.valid_labels is not None:
-            keep &= F.coalesce(F.col("label").isin([int(v) for v in self.valid_labels]), F.lit(False))
-        return F.coalesce(keep, F.lit(False))
+        keep = F.length(text).between(self.min_length, self.max_length) & not_blank(text)
+        return keep if self.valid_labels is None else keep & F.col("label").isin([int(v) for v in self.valid_labels])
 
 
 class LeakageFilter(Filter):
@@ -69,8 +67,9 @@ class LeakageFilter(Filter):
     def predicate(self) -> Column:
         if not self.patterns:
             return F.lit(True)
-        # One alternation: the text is read once. Both flags: Unicode case and classes.
-        return ~F.coalesce(F.lower("text").rlike("(?iU)" + "|".join(f"(?:{p})" for p in self.patterns)), F.lit(False))
+        # One alternation: the text is read once. Both flags, Unicode case and classes, say nothing of ASCII texts.
+        text, any_of = F.lower("text"), "|".join(f"(?:{p})" for p in self.patterns)
+        return ~F.coalesce(F.when(is_ascii(F.col("text")), text.rlike(f"(?i){any_of}")).otherwise(text.rlike(f"(?iU){any_of}")), F.lit(False))
 
 
 class MarkerFilter(Filter):

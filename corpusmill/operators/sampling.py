@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmill.functions.text import draw, pick
+from corpusmill.shared import small, written
 
 
 def balanced(df: DataFrame, n_per_class: int, label: str = "label", seed: int = 42) -> DataFrame:
@@ -22,28 +23,40 @@ def balanced(df: DataFrame, n_per_class: int, label: str = "label", seed: int =
     return ranked.where(F.col("_rank") <= n_per_class).drop("_rank")
 
 
-def numbered(df: DataFrame, by: Sequence[str] = (), order: str = "id") -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str] = (), order: str | Sequence[str] = "id") -> DataFrame:
     """rn from 0 by ``order``, within groups: by counting partitions, not by one task for all rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*by, order]
+    order = [order] if isinstance(order, str) else list(order)
+    keys = [*by, *order]
     placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    from corpusmill.shared import written
-
     placed = written(placed, "placed")
     counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order)) - 1)
+    own = placed.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)) - 1)
     return own.join(F.broadcast(before), [*by, "_part"]).withColumn("rn", (F.col("_rn") + F.col("_before")).cast("long")).drop("_part", "_rn", "_before")
 
 
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with _row, a hash of the whole row: with id it tells rows apart that are not alike."""
+    return df.withColumn("_row", F.xxhash64(*[F.col(c) for c in df.columns]))
+
+
+def _drawn(df: DataFrame, draws: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The rows of ``df`` that draws (draw_no, by, rn) fall on: only ids are numbered, so no text moves but those drawn."""
+    keyed = _keyed(df)
+    places = numbered(keyed.select(*by, "id", "_row"), by, ["id", "_row"])
+    hit = written(draws.join(places, [*by, "rn"]).select("draw_no", "id", "_row"), "drawn")
+    rows = keyed.join(small(hit.select("id", "_row").distinct()), ["id", "_row"], "left_semi").dropDuplicates(["id", "_row"])
+    return hit.join(rows, ["id", "_row"]).select("draw_no", *df.columns)
+
+
 def with_replacement(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """draw_no and the columns of the row that each of ``n`` draws falls on."""
-    rows = numbered(df)
-    total = rows.count()
+    total = df.count()
     if not total:
         raise ValueError("nothing to draw from")
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw_no"), F.pmod(draw(seed, F.col("id")), F.lit(total)).alias("rn"))
-    return draws.join(rows, "rn").drop("rn")
+    return _drawn(df, draws)
 
 
 def balanced_with_replacement(df: DataFrame, n: int, label: str = "label", seed: int = 42) -> DataFrame:
@@ -54,13 +67,12 @@ def balanced_with_replacement(df: DataFrame, n: int, label: str = "label", seed:
     sizes = [(r[0], r[1]) for r in df.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).collect()]
     if not sizes:
         raise ValueError("nothing to draw from")
-    rows = numbered(df.where(F.col(label).isNotNull()), [label])
     out, first = None, 0
     for i, (value, size) in enumerate(sizes):
         many = n // len(sizes) + (i < n % len(sizes))
         own = df.sparkSession.range(first, first + many).select(F.col("id").alias("draw_no"), F.lit(value).alias(label), F.pmod(draw(seed, F.col("id")), F.lit(size)).alias("rn"))
         out, first = own if out is None else out.unionByName(own), first + many
-    return out.join(rows, [label, "rn"]).drop("rn")
+    return _drawn(df.where(F.col(label).isNotNull()), out, [label])
 
 
 def topic_of(topics: dict[str, list[str]] | None, seed: int, index: Column) -> Column:
