@@ -15,7 +15,7 @@ from corpusmill.operators.filters import FilterPipeline
 from corpusmill.operators.reports import class_distribution, language_summary
 from corpusmill.plans.builder import DatasetBuilder
 from corpusmill.plans.strategies import STRATEGIES, Run, questions, restyled
-from corpusmill.sources.files import as_json, filtered_path, load_chunks, load_samples, read_csv, save_csv, stamped_path
+from corpusmill.sources.files import filtered_path, load_chunks, load_samples, read_csv, save_csv, stamped_path, write_json
 
 #: A task for the commands that need none of their own.
 PLAIN_TASK = TaskSpec("text generation", {0: "other", 1: "text"}, "Generate text.")
@@ -23,7 +23,7 @@ PLAIN_TASK = TaskSpec("text generation", {0: "other", 1: "text"}, "Generate text
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="corpusmill", description="Build and curate labelled text datasets with Spark.")
-    sub = top.add_subparsers(dest="command", required=True)
+    sub = top.add_subparsers(dest="command")
 
     def command(name: str, **options) -> argparse.ArgumentParser:
         p = sub.add_parser(name, **options)
@@ -65,6 +65,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, provider=None, translator=None) -> int:
     args = parser().parse_args(argv)
+    if args.command is None:
+        parser().print_help()
+        return 1
     spark = spark or SparkSession.builder.appName("corpusmill").getOrCreate()
     now = datetime.now(UTC)
     task, languages = load_config(args.config) if "config" in args else (PLAIN_TASK, None)
@@ -94,7 +97,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, p
         if texts.isEmpty():
             raise ValueError("the input needs a non-empty text")
         df = questions(run, texts, args.num_samples, args.language) if args.command == "rag-qa" else restyled(run, texts, args.source_topic, args.target_topic, args.style, args.num_samples, args.language)
-        print(save_csv(df, args.output) if args.output else as_json(df))
+        if args.output:
+            print(save_csv(df, args.output))
+        else:
+            write_json(df, sys.stdout)
+            print()
     return 0
 
 

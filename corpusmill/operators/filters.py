@@ -14,6 +14,7 @@ from corpusmill.config import TaskSpec
 from corpusmill.functions.jsonparse import criteria_of
 from corpusmill.functions.text import draw, is_ascii, jaccard, not_blank
 from corpusmill.operators.similarity import SimilarityDeduplicator
+from corpusmill.shared import written
 
 # Patterns of texts that tell their own label, in lower case.
 LEAKAGE_PATTERNS = {
@@ -30,7 +31,10 @@ CRITERIA = ("realistic", "label_correct", "natural_language", "no_artifacts")
 
 
 class Filter(ABC):
-    """Rows that pass; a subclass with a condition of one row gives predicate() alone."""
+    """Rows that pass; a subclass with a condition of one row gives predicate() alone.
+
+    A filter that needs to know of the run it is part of gives within() too.
+    """
 
     @property
     def name(self) -> str:
@@ -40,6 +44,10 @@ class Filter(ABC):
     def predicate(self) -> Column:
         """True for the rows to keep; a null keeps nothing. Conditions that could stand alone are joined by &, cheap ones first."""
 
+    def within(self, **run) -> Filter:
+        """The filter to use in a run of which ``run`` says what is known: original, language."""
+        return self
+
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(self.predicate())
 
@@ -57,19 +65,35 @@ class BasicFilter(Filter):
 
 
 class LeakageFilter(Filter):
-    """Drops texts that name their label. Null texts pass."""
+    """Drops texts that name their label. Null texts pass.
 
-    def __init__(self, task_labels: dict[int, str] | None = None, patterns: dict[str, list[str]] | None = None, language: str = "en") -> None:
-        own = patterns or LEAKAGE_PATTERNS
-        self.patterns = [*own.get("generic", []), *own.get(language, [])]
-        self.patterns += [rf"(?:label|class|category|classified\s+as)\s*[:=]?\s*{re.escape(n.lower())}" for n in (task_labels or {}).values()]
+    With ``by``, a column of languages, each text meets the patterns of its own;
+    otherwise all meet those of ``language``.
+    """
 
-    def predicate(self) -> Column:
-        if not self.patterns:
-            return F.lit(True)
+    def __init__(self, task_labels: dict[int, str] | None = None, patterns: dict[str, list[str]] | None = None, language: str = "en", by: str | None = None) -> None:
+        self.own, self.by = patterns or LEAKAGE_PATTERNS, by
+        self.named = [rf"(?:label|class|category|classified\s+as)\s*[:=]?\s*{re.escape(n.lower())}" for n in (task_labels or {}).values()]
+        self.patterns = self._patterns(language)
+
+    def _patterns(self, language: str) -> list[str]:
+        return [*self.own.get("generic", []), *(self.own.get(language, []) if language != "generic" else []), *self.named]
+
+    def _found(self, patterns: list[str]) -> Column:
+        if not patterns:
+            return F.lit(False)
         # One alternation: the text is read once. Both flags, Unicode case and classes, say nothing of ASCII texts.
-        text, any_of = F.lower("text"), "|".join(f"(?:{p})" for p in self.patterns)
-        return ~F.coalesce(F.when(is_ascii(F.col("text")), text.rlike(f"(?i){any_of}")).otherwise(text.rlike(f"(?iU){any_of}")), F.lit(False))
+        text, any_of = F.lower("text"), "|".join(f"(?:{p})" for p in patterns)
+        return F.coalesce(F.when(is_ascii(F.col("text")), text.rlike(f"(?i){any_of}")).otherwise(text.rlike(f"(?iU){any_of}")), F.lit(False))
+
+    def predicate(self) -> Column:
+        if self.by is None:
+            return ~self._found(self.patterns)
+        found = self._found(self._patterns("generic"))
+        for language in self.own:
+            if language != "generic":
+                found = F.when(F.col(self.by) == language, self._found(self._patterns(language))).otherwise(found)
+        return ~found
 
 
 class MarkerFilter(Filter):
@@ -168,31 +192,37 @@ class FilterPipeline:
         self.filters.append(f)
         return self
 
-    def run(self, df: DataFrame) -> DataFrame:
-        return reduce(lambda d, f: f.apply(d), self.filters, df)
+    def bound(self, **run) -> list:
+        return [f.within(**run) for f in self.filters]
+
+    def run(self, df: DataFrame, **run) -> DataFrame:
+        """The rows that pass all filters; ``run`` (original, language) is what they may know of it."""
+        return reduce(lambda d, f: f.apply(d), self.bound(**run), df)
 
-    def statistics(self, df: DataFrame) -> DataFrame:
+    def statistics(self, df: DataFrame, **run) -> DataFrame:
         """stage, name, n_before, n_after and n_removed, in one pass where all conditions are of one row."""
-        spark = df.sparkSession
-        if all(type(f).apply is Filter.apply for f in self.filters):
+        spark, filters = df.sparkSession, self.bound(**run)
+        if all(type(f).apply is Filter.apply for f in filters):
             keep, sums = F.lit(True), [F.count(F.lit(1)).alias("n0")]
-            for i, f in enumerate(self.filters, 1):
+            for i, f in enumerate(filters, 1):
                 keep = keep & f.predicate()
                 sums.append(F.coalesce(F.sum(keep.cast("long")), F.lit(0)).alias(f"n{i}"))
             counts = df.agg(*sums)
-            rows = F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(f.name).alias("name"), F.col(f"n{i - 1}").alias("n_before"), F.col(f"n{i}").alias("n_after")) for i, f in enumerate(self.filters, 1)])
+            rows = F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(f.name).alias("name"), F.col(f"n{i - 1}").alias("n_before"), F.col(f"n{i}").alias("n_after")) for i, f in enumerate(filters, 1)])
             return counts.select(F.inline(rows)).withColumn("n_removed", F.col("n_before") - F.col("n_after"))
         rows, last = [], df.count()
-        for i, f in enumerate(self.filters, 1):
-            df = f.apply(df)
+        for i, f in enumerate(filters, 1):
+            # Written, so that no stage runs those before it again.
+            df = written(f.apply(df), "stage")
             now = df.count()
             rows.append((i, f.name, last, now, last - now))
             last = now
         return spark.createDataFrame(rows, "stage int, name string, n_before long, n_after long, n_removed long")
 
     @classmethod
-    def default(cls, task: TaskSpec, *, language: str = "en", min_length: int = 10, max_length: int = 1000, use_embeddings: bool = True, dedup_threshold: float = 0.90, encoder=None, original: DataFrame | None = None) -> FilterPipeline:
-        out = cls(BasicFilter(task.label_indices, min_length, max_length), LeakageFilter(task.labels, language=language))
+    def default(cls, task: TaskSpec, *, language: str = "en", min_length: int = 10, max_length: int = 1000, use_embeddings: bool = True, dedup_threshold: float = 0.90, encoder=None, original: DataFrame | None = None, by: str | None = None) -> FilterPipeline:
+        """The usual filters; with ``by``, a column of languages, each language is filtered by itself."""
+        out = cls(BasicFilter(task.label_indices, min_length, max_length), LeakageFilter(task.labels, language=language, by=by))
         if use_embeddings:
-            out.add(SimilarityDeduplicator(dedup_threshold, encoder=encoder, original=original))
+            out.add(SimilarityDeduplicator(dedup_threshold, encoder=encoder, original=original, by=by))
         return out.add(MarkerFilter(task)) if task.marker_keywords else out

@@ -8,7 +8,9 @@ doc_id, alike in both forms.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +24,10 @@ from corpusmill.operators import reports, sampling, similarity
 from corpusmill.plans import strategies as S
 from corpusmill.plans.builder import DatasetBuilder
 from corpusmill.plans.prompts import TEMPLATES, PromptRenderer
-from corpusmill.shared import written
-from corpusmill.sources import files
+from corpusmill.shared import shared_dir
+from corpusmill.sources import files, providers
 from corpusmill.sources.providers import ColumnProvider
+from corpusmill.streaming.filters import counted_stream, counts_to, latest_counts
 
 TASK = TaskSpec(
     "toxicity",
@@ -566,8 +569,87 @@ def gen_all_languages(spark, sf):
     return df.select("language", "ord", "text", "label")
 
 
+# --- backends that are clients
+
+
+class EchoClient:
+    """Answers with a hash of the prompt; knows no response_format."""
+
+    def generate(self, prompt: str, *, temperature: float = 0.9, max_tokens: int = 250) -> str:
+        import hashlib
+
+        return "Here is: text " + hashlib.md5(prompt.encode()).hexdigest()
+
+
+@query(_DIRECT)
+def gen_direct_by_name(spark, sf):
+    """The client by the name it has in the registry."""
+    providers.REGISTRY["echo"] = EchoClient
+    return _direct_out(S.direct(_run(spark, "echo"), "en", 301))
+
+
+@query(f"WITH {_direct_sql(301, 'English')} SELECT ord, concat('Here is: ', text) AS raw, CAST(NULL AS VARCHAR) AS error FROM asked WHERE ord % 10 <> 0 UNION ALL SELECT ord, NULL, 'RuntimeError: never' FROM asked WHERE ord % 10 = 0")
+def provider_retry(spark, sf):
+    """A client that fails each first call, and some prompts always."""
+
+    class Flaky(EchoClient):
+        failed: set[str] = set()
+
+        def generate(self, prompt: str, **options) -> str:
+            if prompt.startswith("never "):
+                raise RuntimeError("never")
+            if prompt not in self.failed:
+                self.failed.add(prompt)
+                raise RuntimeError("at first")
+            return super().generate(prompt, **options)
+
+    run = _run(spark)
+    plan = S.labelled_plan(run, 301).withColumn("topic", sampling.topic_of(TASK.topics, run.seed, F.col("ord")))
+    plan = plan.withColumn("prompt", run.prompts.render("direct", "English", F.col("label"), topic=F.col("topic")))
+    plan = plan.withColumn("prompt", F.when(F.col("ord") % 10 == 0, F.concat(F.lit("never "), "prompt")).otherwise(F.col("prompt")))
+    return providers.answered(plan, Flaky, base_delay=0).select("ord", "raw", "error")
+
+
+@query(f"WITH {DS} SELECT ord FROM ds WHERE ord % 3 <> 0")
+def judge_without_json_mode(spark, sf):
+    """A judge that knows no response_format: it is asked without, and what it finds bad goes."""
+
+    class Judge:
+        def generate(self, prompt: str, *, temperature: float = 0.9, max_tokens: int = 250) -> str:
+            good = "false" if "[bad]" in prompt else "true"
+            return f'{{"realistic": true, "label_correct": {good}, "natural_language": true, "no_artifacts": true}}'
+
+    marked = ds(spark, sf).withColumn("text", F.when(F.col("ord") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" [bad]"))).otherwise(F.col("text")))
+    return O.JudgeFilter(S.judge_of(_run(spark, Judge))).apply(marked).select("ord")
+
+
 # --- whole pipelines
 
+UNMARKED = replace(TASK, marker_keywords=None)
+#: Says half of the texts again as they are, and writes others for the rest.
+PARROT = ColumnProvider(lambda prompt: F.when(F.md5(prompt.cast("binary")) < "8", F.regexp_extract(prompt, r"(?s)\nText:\n(.*)\nAnswer with nothing but", 1)).otherwise(F.concat(F.lit("text "), F.md5(prompt.cast("binary")))))
+
+
+@query(
+    f"""WITH {_ORIGINAL}, r AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS rn FROM o), d AS (SELECT range AS draw_no FROM range(200)),
+ x AS (SELECT draw_no AS ord, r.label, md5({_sql_prompt('paraphrase', language="'English'", text='text')}) AS h FROM d JOIN r ON r.rn = {_NO} % (SELECT count(*) FROM o))
+ SELECT min(ord) AS ord, any_value(label) AS label, concat('text ', h) AS text FROM x WHERE h >= '8' GROUP BY h"""
+)
+def gen_filtered_cross(spark, sf):
+    """With the usual filters: what says an original text again goes, and of equal new texts all but the first."""
+    run = S.Run(spark, UNMARKED, PARROT, TAG, LANGS)
+    return DatasetBuilder(run).generate("en", 200, ["paraphrase"], original=_original(spark, sf)).select("ord", "label", "text")
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {_direct_sql(50, name)} SELECT '{code}' AS language, min(ord) AS ord, text, min(label) AS label FROM asked GROUP BY text)" for code, name in LANGS.languages.items()))
+def gen_all_filtered(spark, sf):
+    """All languages in one job; texts that languages share stay in each."""
+    df, errors = DatasetBuilder(S.Run(spark, UNMARKED, ECHO, TAG, LANGS)).generate_all(50, ["direct"])
+    if errors:
+        raise RuntimeError(errors)
+    return df.select("language", "ord", "text", "label")
+
+
 _LIGHT = f"{_NOT_BLANK} AND {_LEN} AND label IN (0, 1) AND {_NO_LEAK} AND (label IS DISTINCT FROM 1 OR ({_FOUND}) >= 1)"
 
 
@@ -593,20 +675,56 @@ def filter_stage_stats(spark, sf):
 # --- files
 
 
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex[:12]}"
+
+
 @query(f"WITH {DS} SELECT id, text, label FROM ds WHERE text IS NOT NULL AND ord % 31 <> 0")
 def csv_roundtrip_na(spark, sf):
     """Written as CSV and read back; a null label and a text that says NA go."""
-    import uuid
-
-    from corpusmill.shared import shared_dir
-
-    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex[:12]}"
+    path = _new_path(spark)
     own = ds(spark, sf).select("id", F.when(F.col("ord") % 62 == 31, F.lit("NA")).otherwise(F.col("text")).alias("text"), F.when(F.col("ord") % 62 == 0, F.lit(None)).otherwise(F.col("label").cast("double")).alias("toxic"))
     files.save_csv(own, path)
     return files.load_samples(spark, path, "toxic").select("id", "text", "label")
 
 
+@query(f"WITH {DS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS first, CAST(count(*) - 1 AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS n_ids FROM ds")
+def csv_dense_ids(spark, sf):
+    """Files without ids: rows are numbered from 0."""
+    path = _new_path(spark)
+    files.save_csv(table(spark, sf, "documents").select("text", F.lit(1).alias("label")), path)
+    ids = files.load_samples(spark, path).select(F.col("id").cast("long").alias("id"))
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"), F.count_distinct("id").alias("n_ids"))
+
+
+@query("SELECT doc_id AS ord, lang AS language, text FROM documents WHERE lang IN ('en', 'de', 'fr')")
+def files_by_language(spark, sf):
+    """A file of each language, of which one is not asked for and one is not there."""
+    folder = _new_path(spark)
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(0).alias("label"), "lang")
+    for code in ("en", "de", "fr", "es"):
+        files.save_csv(own.where(F.col("lang") == code).drop("lang"), f"{folder}/{code}.csv")
+    return files.load_by_language(spark, folder, ["en", "de", "fr", "it"]).select(F.col("id").cast("long").alias("ord"), "language", "text")
+
+
+@query(f"WITH {DS} SELECT label, count(*) AS n FROM ds WHERE label IS NOT NULL GROUP BY label")
+def json_output(spark, sf):
+    import json
+
+    made = json.loads(files.as_json(reports.class_distribution(ds(spark, sf))))
+    return spark.createDataFrame([(r["label"], r["n"]) for r in made], "label int, n long")
+
+
+# --- streams
+
+
 @query("SELECT event_type AS label, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def stream_label_counts(spark, sf):
-    """Counts by window as a stream gives them once all has come."""
-    return written(table(spark, sf, "events").groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("label")).agg(F.count(F.lit(1)).alias("n")).select("label", F.col("w.start").alias("hour"), "n"), "counts")
+    """Counts by window of a stream of files, one file a batch, as the last change of each count left them."""
+    folder = _new_path(spark)
+    events = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("label"))
+    # A stream of several files, in the order of time.
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    counts_to(counted_stream(stream, "ts", "1 hour", "36500 days"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return latest_counts(spark, f"{folder}/out").select("label", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")

@@ -43,10 +43,11 @@ class Run:
     run_id: str = "run"
     run_at: str = "1970-01-01T00:00:00+00:00"
     model: str | None = None
+    renderer: PromptRenderer | None = None
 
     @property
     def prompts(self) -> PromptRenderer:
-        return PromptRenderer(self.task)
+        return self.renderer or PromptRenderer(self.task)
 
     def ask(self, df: DataFrame, **options) -> DataFrame:
         if self.provider is None:
@@ -76,7 +77,8 @@ def _name(run: Run, label: Column) -> Column:
     return out
 
 
-def _samples(run: Run, df: DataFrame, prefix: str, source: str, language: str, **meta: Column) -> DataFrame:
+def samples(run: Run, df: DataFrame, prefix: str, source: str, language: str, **meta: Column) -> DataFrame:
+    """The columns SAMPLE of ``df`` (ord, text, label); ids by prefix, source and ord."""
     meta = {"generated_at": F.lit(run.run_at), "language": F.lit(language)} | meta
     return df.select("ord", sample_id(prefix, source, F.col("ord"), run.run_id).alias("id"), "text", F.col("label").cast("int").alias("label"), F.lit(source).alias("source"), F.lit(language).alias("language"), metadata(**meta).alias("metadata"))
 
@@ -86,7 +88,7 @@ def direct(run: Run, language: str, n: int, *, ratios: dict[int, float] | None =
     plan = labelled_plan(run, n, ratios).withColumn("topic", topic_of(run.task.topics, run.seed, F.col("ord")))
     plan = plan.withColumn("prompt", run.prompts.render("direct", run.languages.language_name(language), F.col("label"), topic=F.col("topic")))
     got = run.ask(plan, temperature=0.9).withColumn("text", clean_generated(F.col("raw"))).where("text <> ''")
-    return _samples(run, got, "direct", "direct", language, topic=F.col("topic"), label_name=_name(run, F.col("label")))
+    return samples(run, got, "direct", "direct", language, topic=F.col("topic"), label_name=_name(run, F.col("label")))
 
 
 def _originals(original: DataFrame | None) -> DataFrame:
@@ -102,7 +104,7 @@ def paraphrase(run: Run, language: str, n: int, *, original: DataFrame | None =
     drawn = with_replacement(_originals(original), n, run.seed).withColumnsRenamed({"draw_no": "ord", "text": "src"})
     plan = drawn.withColumn("prompt", run.prompts.render("paraphrase", run.languages.language_name(language), F.col("label"), text=F.col("src")))
     got = run.ask(plan, temperature=0.7).withColumn("text", clean_generated(F.col("raw"))).where("text <> ''")
-    return _samples(run, got.withColumnRenamed("id", "original_id"), "para", "paraphrase", language, original_id=F.coalesce("original_id", F.concat(F.lit("unknown_"), F.col("ord").cast("string"))), label_name=_name(run, F.col("label")))
+    return samples(run, got.withColumnRenamed("id", "original_id"), "para", "paraphrase", language, original_id=F.coalesce("original_id", F.concat(F.lit("unknown_"), F.col("ord").cast("string"))), label_name=_name(run, F.col("label")))
 
 
 def contrastive(run: Run, language: str, n: int, **_) -> DataFrame:
@@ -121,7 +123,7 @@ def contrastive(run: Run, language: str, n: int, **_) -> DataFrame:
     both = both.withColumn("ord", (2 * F.col("pair_id") + F.col("side")).cast("long"))
     # At most n + 1 rows can be there: then no row is missing, and the last is one too many.
     cap = both.where(F.col("ord") < n) if n % 2 and both.count() > n else both
-    return _samples(run, cap, "contrast", "contrastive", language, pair_id=F.col("pair_id"), topic=F.col("topic"), label_name=_name(run, F.col("label")))
+    return samples(run, cap, "contrast", "contrastive", language, pair_id=F.col("pair_id"), topic=F.col("topic"), label_name=_name(run, F.col("label")))
 
 
 def backtranslation(run: Run, language: str, n: int, *, original: DataFrame | None = None, pivots: tuple[str, ...] = ("en",), class_balanced: bool = True, **_) -> DataFrame:
@@ -134,7 +136,7 @@ def backtranslation(run: Run, language: str, n: int, *, original: DataFrame | No
     plan = drawn.withColumn("pivot", F.element_at(F.array(*[F.lit(run.languages.iso_code(p)) for p in ways]), (F.pmod("ord", F.lit(len(ways))) + 1).cast("int"))).withColumn("own", F.lit(run.languages.iso_code(language)))
     there = run.translate(plan, "src", "own", "pivot", "there").where("there IS NOT NULL")
     back = run.translate(there, "there", "pivot", "own", "back").withColumn("text", strip(F.col("back"))).where("text <> '' AND text <> src")
-    return _samples(run, back, "bt", "backtranslation", language, pivot_language=F.col("pivot"), original_id=F.coalesce("original_id", F.concat(F.lit("unknown_"), F.col("ord").cast("string"))))
+    return samples(run, back, "bt", "backtranslation", language, pivot_language=F.col("pivot"), original_id=F.coalesce("original_id", F.concat(F.lit("unknown_"), F.col("ord").cast("string"))))
 
 
 def pivot(run: Run, language: str, n: int, *, source_language: str = "en", ratios: dict[int, float] | None = None, cross_lingual: bool = False, cross_lingual_ratio: float = 0.3, **_) -> DataFrame:
@@ -149,12 +151,21 @@ def pivot(run: Run, language: str, n: int, *, source_language: str = "en", ratio
     got = run.ask(plan, temperature=0.9).withColumn("src", clean_generated(F.col("raw"))).where("src <> ''")
     got = got.withColumn("from", F.when(F.col("cross"), F.lit(run.languages.iso_code(related or source_language))).otherwise(F.lit(run.languages.iso_code(source_language)))).withColumn("to", F.lit(run.languages.iso_code(language)))
     out = run.translate(got, "src", "from", "to", "there").withColumn("text", clean_generated(F.col("there"))).where("text <> ''")
-    return _samples(run, out, "pivot", "pivot", language, source_language=F.col("from"), topic=F.col("topic"), cross_lingual=F.col("cross"), label_name=_name(run, F.col("label")), english_original=F.when(F.col("from") == "en", F.col("src")))
+    return samples(run, out, "pivot", "pivot", language, source_language=F.col("from"), topic=F.col("topic"), cross_lingual=F.col("cross"), label_name=_name(run, F.col("label")), english_original=F.when(F.col("from") == "en", F.col("src")))
 
 
+#: By name: functions of a Run, a language, a number of samples and options (original and others), which give the
+#: columns SAMPLE. ord says in which order samples come; it is below 2 * n + 2.
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"direct": direct, "paraphrase": paraphrase, "contrastive": contrastive, "backtranslation": backtranslation, "pivot": pivot}
 
 
+def register(name: str, make: Callable[..., DataFrame]) -> None:
+    """A strategy of one's own, for builders and the command line."""
+    if name in STRATEGIES and STRATEGIES[name] is not make:
+        raise ValueError(f"there is a strategy {name!r}")
+    STRATEGIES[name] = make
+
+
 def strategy(name: str) -> Callable[..., DataFrame]:
     if name not in STRATEGIES:
         raise ValueError(f"unknown strategy {name!r}; there are {', '.join(STRATEGIES)}")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
+import textwrap
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +28,7 @@ def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def load_samples(spark: SparkSession, path: str | list[str], label_column: str = "label") -> DataFrame:
     """id, text, label and other columns; rows without text or label go, labels are cut to whole numbers.
 
-    Without a column id, rows are numbered in file order by Spark's own row ids,
-    which grow but have gaps between partitions.
+    Without a column id, all rows are numbered from 0 in file order.
     """
     df = read_csv(spark, path)
     for name in ("text", label_column):
@@ -37,10 +39,23 @@ def load_samples(spark: SparkSession, path: str | list[str], label_column: str =
     for name in ("text", "label"):
         df = df.withColumn(name, F.when(~F.col(name).isin(*NA), F.col(name)))
     if "id" not in df.columns:
-        df = df.withColumn("id", F.monotonically_increasing_id().cast("string"))
+        df = _numbered(df)
     return df.dropna(subset=["text", "label"]).withColumn("label", F.col("label").cast("double").cast("int"))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` of files with id from 0: Spark's own row ids, whose gaps between partitions are closed by counts."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = sorted((r[0], r[1]) for r in placed.groupBy(part).count().collect())  # a row for each partition
+    starts = [(p, 0) for p, _ in counts[:1]]
+    for (_, n), (p, _) in zip(counts, counts[1:], strict=False):
+        starts.append((p, starts[-1][1] + n))
+    before = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    own = placed.withColumn("_part", part).join(before, "_part")
+    return own.withColumn("id", (F.col("_start") + F.col("_at") - F.shiftleft("_part", 33)).cast("string")).drop("_at", "_part", "_start")
+
+
 def load_by_language(spark: SparkSession, folder: str, languages: list[str], label_column: str = "label") -> DataFrame | None:
     """The files {language}.csv of a folder as one table with column language; None if there are none."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -82,6 +97,17 @@ def stamped_path(folder: str, language: str, stamp: str | None = None) -> str:
     return f"{folder.rstrip('/')}/{language}_synthetic{'_' + stamp if stamp else ''}.csv"
 
 
-def as_json(df: DataFrame, most: int = 1000) -> str:
-    """Up to ``most`` rows as a JSON array, for a terminal."""
-    return json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(most).collect()], indent=2, ensure_ascii=False)
+def write_json(df: DataFrame, out: TextIO) -> None:
+    """All rows as a JSON array, one partition in memory at a time."""
+    before = "[\n"
+    for row in df.select(F.to_json(F.struct("*"))).toLocalIterator():
+        out.write(before + textwrap.indent(json.dumps(json.loads(row[0]), indent=2, ensure_ascii=False), "  "))
+        before = ",\n"
+    out.write("\n]" if before.startswith(",") else "[]")
+
+
+def as_json(df: DataFrame) -> str:
+    """All rows as a JSON array."""
+    out = io.StringIO()
+    write_json(df, out)
+    return out.getvalue()

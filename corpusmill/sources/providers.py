@@ -73,12 +73,22 @@ def _called(df: DataFrame, make: Callable[[], object], call: Callable[[object, d
                     errors.append(None)
                 except Exception as e:
                     raw.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
+                    errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)], pa.array(raw, pa.string()), pa.array(errors, pa.string())], schema=arrow)
 
     return written(df.mapInArrow(work, schema), "answers")
 
 
+def asked(client: LLMProvider, prompt: str, options: dict) -> str:
+    """The client's answer; a client that has no response_format is asked without it."""
+    try:
+        return client.generate(prompt, **options)
+    except TypeError as e:
+        if "response_format" not in options or "response_format" not in str(e):
+            raise
+        return client.generate(prompt, **{k: v for k, v in options.items() if k != "response_format"})
+
+
 def answered(df: DataFrame, provider: ColumnProvider | Callable[[], LLMProvider], *, attempts: int = 3, base_delay: float = 1.0, **options) -> DataFrame:
     """``df`` (with prompt) with raw, the answer, and error; a call that fails for good has raw null.
 
@@ -87,7 +97,7 @@ def answered(df: DataFrame, provider: ColumnProvider | Callable[[], LLMProvider]
     """
     if isinstance(provider, ColumnProvider):
         return df.withColumn("raw", provider.answer(F.col("prompt"))).withColumn("error", F.lit(None).cast("string"))
-    return _called(df, provider, lambda client, v: client.generate(v["prompt"], **options), ["prompt"], attempts, base_delay)
+    return _called(df, provider, lambda client, v: asked(client, v["prompt"], options), ["prompt"], attempts, base_delay)
 
 
 def translated(df: DataFrame, provider: ColumnProvider | Callable[[], TranslationProvider], text: str, source: str, target: str, into: str, *, attempts: int = 3, base_delay: float = 1.0) -> DataFrame:

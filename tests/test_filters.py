@@ -124,3 +124,65 @@ def test_reports(spark):
     df = spark.createDataFrame([("en", 1), ("en", None), ("de", 0)], "language string, label int")
     assert {tuple(r) for r in reports.class_distribution(df).collect()} == {(1, 1), (0, 1)}
     assert {tuple(r) for r in reports.language_summary(df, ["en", "fr"]).collect()} == {("en", 2, "ok"), ("fr", 0, "FAIL"), ("TOTAL", 2, "ok")}
+
+
+def test_thresholds_are_exact(spark):
+    texts = ["a " * 9 + "b", "a " * 9 + "c", "a " * 99 + "b", "a " * 99 + "c", "a b c d", "a b c e"]
+
+    def close(t):
+        return lambda i, j: cosine(texts[i], texts[j]) >= t
+
+    def cosine(x, y):
+        x, y = x.split(), y.split()
+        dot = sum(x.count(w) * y.count(w) for w in set(x))
+        return dot / (sum(x.count(w) ** 2 for w in set(x)) * sum(y.count(w) ** 2 for w in set(y))) ** 0.5
+
+    for t in (0.7501, 0.9878, 0.9879, 0.995, 0.9999):
+        assert kept(similarity.SimilarityDeduplicator(t).apply(frame(spark, texts))) == greedy(len(texts), close(t)), t
+    for t in (0.00001, 0, 1.5, 0.12345):
+        with pytest.raises(ValueError, match="threshold"):
+            similarity.sparse_pairs(frame(spark, texts), None, t)
+
+
+@pytest.mark.parametrize(("pairs", "most"), [(1 << 19, 1), (1000, 6)])
+def test_a_long_chain_is_decided_in_few_rounds(spark, monkeypatch, pairs, most):
+    rounds = []
+    monkeypatch.setattr(similarity, "EDGES", pairs)
+    real = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name, *a: rounds.append(name) or real(df, name, *a))
+    n = 3000
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "i long, j long")
+    assert kept(similarity.first_come(spark.range(n).withColumnRenamed("id", "ord"), edges)) == list(range(0, n, 2))
+    assert rounds.count("ruled") <= most
+
+
+def test_copies_meet_nothing_twice(spark):
+    texts = ["the same text here"] * 400 + ["text here the SAME"] * 400 + ["another one, really"]
+    df = frame(spark, texts)
+    assert kept(similarity.SimilarityDeduplicator(0.9).apply(df)) == [0, 800]
+    assert kept(similarity.SimilarityDeduplicator(0.9, original=frame(spark, ["same here text the"])).apply(df)) == [800]
+
+
+def test_filters_of_text_are_pushed_below_a_join(spark):
+    left = frame(spark, ["some text of its own"] * 3).drop("label")
+    right = spark.createDataFrame([(0, 1), (1, 5)], "ord long, label int")
+    out = O.FilterPipeline.default(TASK, use_embeddings=False).run(left.join(right, "ord", "left"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join") :]
+    assert "length(text" in below and "RLIKE" in below and kept(out) == []
+
+
+def test_blocks_of_vectors(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(similarity, "LEAST", 16)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 6)), 2)
+    x[3] = 0
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)] + [(200, None), (201, [])], "ord long, vector array<double>")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sim = unit @ unit.T
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if sim[i, j] >= 0.8}
+    assert {(r["i"], r["j"]) for r in similarity.dense_pairs(df, None, 0.8).collect()} == want
+    best = {r["ord"]: r["max_similarity"] for r in similarity.most_similar(df.where("ord < 50"), df.where("ord >= 50")).collect()}
+    assert set(best) == set(range(50)) and all(abs(best[i] - max(sim[i, 50:])) < 1e-9 for i in best)

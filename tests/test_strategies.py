@@ -204,3 +204,110 @@ def test_filters_with_backends(spark):
     except ImportError:
         with pytest.raises(ImportError, match="sentence-transformers"):
             sentence_encoder()
+
+
+def test_all_rows_as_json(spark):
+    df = spark.range(2500).select("id", F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    assert sorted(r["id"] for r in json.loads(files.as_json(df))) == list(range(2500)) and json.loads(files.as_json(df.limit(0))) == []
+
+
+def test_ids_from_zero(spark, tmp_path):
+    files.save_csv(spark.range(1000).repartition(7).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 5 > 0, 1).alias("label")), str(tmp_path / "in"))
+    got = files.load_samples(spark, str(tmp_path / "in"))
+    ids = [int(r["id"]) for r in got.collect()]
+    assert len(set(ids)) == 800 and max(ids) < 1000 and got.where("label <> 1").isEmpty()
+
+
+def test_errors_are_whole(spark):
+    class Broken:
+        def generate(self, prompt, **_):
+            raise RuntimeError("x" * 2000)
+
+    got = providers.answered(spark.range(1).select(F.lit("p").alias("prompt")), Broken, base_delay=0).head()
+    assert got["raw"] is None and got["error"] == "RuntimeError: " + "x" * 2000
+
+
+def test_a_client_without_json_mode():
+    class Plain:
+        def generate(self, prompt, *, temperature=0.9):
+            return prompt
+
+    class Typed(Plain):
+        def generate(self, prompt, **_):
+            raise TypeError("something else")
+
+    assert providers.asked(Plain(), "p", {"temperature": 0.1, "response_format": {"type": "json_object"}}) == "p"
+    with pytest.raises(TypeError, match="something else"):
+        providers.asked(Typed(), "p", {"response_format": {}})
+
+
+def test_own_renderer_and_strategy(spark):
+    from corpusmill.plans import strategies as S
+    from corpusmill.plans.prompts import PromptRenderer
+
+    class Short(PromptRenderer):
+        def render(self, strategy, language, label=None, **values):
+            return F.concat(F.lit(f"{strategy}:"), label.cast("string"))
+
+    echo = ColumnProvider(lambda p: p)
+    run = Run(spark, TASK, echo, renderer=Short(TASK))
+    assert sorted(r["text"] for r in DatasetBuilder(run).raw("en", 3).collect()) == ["direct:0", "direct:0", "direct:1"]
+
+    def constant(run, language, n, **_):
+        plan = S.labelled_plan(run, n).withColumn("text", F.concat(F.lit("text "), F.col("ord").cast("string")))
+        return S.samples(run, plan, "const", "constant", language)
+
+    S.register("constant", constant)
+    try:
+        assert DatasetBuilder(run).raw("en", 4, ["constant", "direct"]).where("source = 'constant'").count() == 2
+        with pytest.raises(ValueError, match="there is a strategy"):
+            S.register("direct", constant)
+    finally:
+        del S.STRATEGIES["constant"]
+
+
+def test_a_run_tells_its_filters(spark):
+    from corpusmill.operators.filters import Filter, FilterPipeline
+
+    class Own(Filter):
+        def __init__(self, language=None):
+            self.language = language
+
+        def within(self, language=None, **_):
+            return Own(language)
+
+        def predicate(self):
+            return F.col("text") != F.lit(self.language)
+
+    df = spark.createDataFrame([("en",), ("de",)], "text string")
+    assert [r[0] for r in FilterPipeline(Own()).run(df, original=None, language="de").collect()] == ["en"]
+
+
+def test_languages_are_filtered_by_themselves(spark, tmp_path):
+    same = ColumnProvider(lambda p: F.lit("a text that all languages share"))
+    run = Run(spark, TASK, same, languages=LanguageConfig({"en": "English", "de": "German", "fr": "French"}))
+    (tmp_path / "fr.csv").write_text("text,label\na text that all languages share,0\n")
+    df, errors = DatasetBuilder(run).generate_all(6, ["direct"], data_dir=str(tmp_path))
+    assert not errors and sorted((r["language"], r["ord"]) for r in df.collect()) == [("de", 0), ("en", 0)]
+    assert DatasetBuilder(run).generate("fr", 6, original=files.load_samples(spark, str(tmp_path / "fr.csv"))).count() == 0
+
+
+def test_no_command(capsys):
+    assert main([]) == 1 and "generate" in capsys.readouterr().out
+
+
+def test_counts_of_a_stream_go_on_after_a_restart(spark, tmp_path):
+    from corpusmill.streaming.filters import counts_to, latest_counts
+
+    schema = "at timestamp, label int"
+
+    def run(rows, k):
+        spark.createDataFrame(rows, "at string, label int").selectExpr("CAST(at AS timestamp) AS at", "label").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        counts_to(counted_stream(stream, "at", "1 hour", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
+        return {(r["window"]["start"].hour, r["label"]): r["n"] for r in latest_counts(spark, str(tmp_path / "out")).collect()}
+
+    assert run([("2024-01-01 10:00:00", 1), ("2024-01-01 10:30:00", 1), ("2024-01-01 10:59:00", 0)], 0) == {(10, 1): 2, (10, 0): 1}
+    assert run([("2024-01-01 10:58:00", 1), ("2024-01-01 12:30:00", 0)], 1) == {(10, 1): 3, (10, 0): 1, (12, 0): 1}
+    # Two hours late: its window is closed, and it is dropped.
+    assert run([("2024-01-01 10:10:00", 1), ("2024-01-01 12:40:00", 0)], 2) == {(10, 1): 3, (10, 0): 1, (12, 0): 2}
