@@ -10,6 +10,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 _RUN = uuid.uuid4().hex[:12]
+#: The tables that the innermost scratch() is to remove.
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +48,36 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = f"{shared_dir(spark)}/corpusmill-{_RUN}/{name}-{uuid.uuid4().hex[:12]}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    if (made := _MADE.get()) is not None:
+        made.append(table)
+    return table
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[..., None]]:
+    """Removes the tables that written() makes within, at the end, but those that the function it gives is told to keep.
+
+    What is returned lazily must keep the tables it reads.
+    """
+    made: list[DataFrame] = []
+    before, wanted = _MADE.set(made), set()
+    try:
+        yield lambda *tables: wanted.update(t._written_at for t in tables if t is not None)
+    finally:
+        _MADE.reset(before)
+        dropped(*(t for t in made if t._written_at not in wanted))
+        if (outer := _MADE.get()) is not None:
+            outer += [t for t in made if t._written_at in wanted]
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables that written() made and nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def heavy_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, most: int = 1000) -> DataFrame:

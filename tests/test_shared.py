@@ -26,3 +26,21 @@ def test_small_is_checked(spark, monkeypatch):
 
     monkeypatch.setattr(shared, "BROADCAST_ROWS", 5)
     assert hinted(shared.small(spark.range(5))) and not hinted(shared.small(spark.range(6)))
+
+
+def test_tables_that_nothing_reads_go(spark):
+    import os
+
+    from corpusmill.shared import scratch, written
+
+    def there(table):
+        return os.path.exists(table._written_at.removeprefix("file://"))
+
+    with scratch() as keep_outer:
+        with scratch() as keep:
+            a, b = written(spark.range(3), "a"), written(spark.range(4), "b")
+            keep(b, None)
+        assert not there(a) and there(b) and b.count() == 4
+        c = written(spark.range(5), "c")
+        keep_outer(c)
+    assert not there(b) and there(c) and there(written(spark.range(1), "d"))
