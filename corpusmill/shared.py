@@ -106,7 +106,8 @@ def small(df: DataFrame) -> DataFrame:
     """``df`` broadcast if it has BROADCAST_ROWS rows and BROADCAST_BYTES bytes at most."""
     wide = [F.coalesce(F.length(F.to_json(F.struct(f.name)) if isinstance(f.dataType, ArrayType) else F.col(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, StringType | BinaryType | ArrayType)]
     each = sum(wide, F.lit(8 * len(df.columns))).cast("long")
-    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    # Counted by partition: a limit would send rows of every partition to one task.
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
     return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 

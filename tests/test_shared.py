@@ -44,3 +44,15 @@ def test_tables_that_nothing_reads_go(spark):
         c = written(spark.range(5), "c")
         keep_outer(c)
     assert not there(b) and there(c) and there(written(spark.range(1), "d"))
+
+
+def test_small_is_by_rows_and_bytes(spark, monkeypatch):
+    from corpusmill import shared
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 100) AS text", "array(repeat('y', 50)) AS list")
+    assert "broadcast" in shared.small(df)._jdf.queryExecution().toString() and shared.small(df.limit(0)).count() == 0
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 15_000)
+    assert "broadcast" not in shared.small(df)._jdf.queryExecution().toString()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 99)
+    assert "broadcast" not in shared.small(df)._jdf.queryExecution().toString()

@@ -311,3 +311,16 @@ def test_counts_of_a_stream_go_on_after_a_restart(spark, tmp_path):
     assert run([("2024-01-01 10:58:00", 1), ("2024-01-01 12:30:00", 0)], 1) == {(10, 1): 3, (10, 0): 1, (12, 0): 1}
     # Two hours late: its window is closed, and it is dropped.
     assert run([("2024-01-01 10:10:00", 1), ("2024-01-01 12:40:00", 0)], 2) == {(10, 1): 3, (10, 0): 1, (12, 0): 2}
+
+
+def test_an_encoder_of_texts(spark, tmp_path, monkeypatch):
+    """With a stand-in for the model, which each task loads."""
+    from corpusmill.operators.similarity import SimilarityDeduplicator, sentence_encoder
+
+    module = tmp_path / "sentence_transformers.py"
+    module.write_text("import numpy as np\n\n\nclass SentenceTransformer:\n    def __init__(self, name):\n        pass\n\n    def encode(self, texts):\n        return np.array([[t.count('a'), t.count('b')] for t in texts], np.float32)\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(module))
+    df = spark.createDataFrame([(0, "aa"), (1, "aaab"), (2, "b"), (3, None), (4, "a")], "ord long, text string")
+    kept = SimilarityDeduplicator(0.9, encoder=sentence_encoder()).apply(df)
+    assert sorted(r["ord"] for r in kept.collect()) == [0, 2, 3]
