@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.shared import small, written
+from corpusmill.shared import scratch, small, written
 
 WINDOW = 13
 # What stands between words: ASCII but digits and letters.
@@ -77,8 +77,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return written(words.withColumn("k", F.least(F.size("words"), F.lit(WINDOW))).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def _segments(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct segments (seg, pair, alone, off, k, part) and the items of each (seg, item_id).
+def _segments(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Distinct segments (seg, pair, alone, off, k, part), the items of each (seg, item_id), and the tables that these read.
 
     off is where the pair stands in the segment's words, which are part.
     """
@@ -94,7 +94,7 @@ def _segments(items: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]
     cut = written(cut.distinct(), "item_segments")
     same = ["pair", "alone", "k", "off", "part"]
     segments = written(cut.select(*same).distinct().withColumn("seg", F.monotonically_increasing_id()), "segments")
-    return segments, cut.join(segments, same).select("seg", "item_id")
+    return segments, cut.join(segments, same).select("seg", "item_id"), [segments, cut]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -109,18 +109,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # A row is told by doc_id (0 where it is null, which row_key tells apart) and a hash of both.
     row = ["own", "row_key"]
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", F.xxhash64("doc_id", "text")).withColumn("own", F.coalesce("doc_id", F.lit(0).cast("long")))
-    words = written(docs.select("doc_id", *row, _hashes(F.col("text")).alias("h")), "words")
-    segments, members = _segments(_items(benchmark), words)
-    met = _meeting(words, segments.select("pair", "alone", "seg", "off", "k", F.size("part").alias("length")), *row).withColumn("delta", F.col("pos") - F.col("off"))
-    inside = F.least(F.col("n"), F.col("delta") + F.col("length")) - F.greatest(F.lit(0), F.col("delta")) >= F.col("k")
-    places = met.where(inside).groupBy(*row).agg(F.collect_set(F.struct("seg", "delta", "length")).alias("places"))
-    places = written(places, "places")
-    held = docs.join(small(places.select(*row)), row, "left_semi").select(*row, words_of(lower_ascii(F.col("text"))).alias("w")).join(places, row)
-    first = F.greatest(F.lit(0), -F.col("delta"))
-    aligned = held.select(*row, F.explode(F.transform("places", lambda p: F.struct(p["seg"].alias("seg"), p["delta"].alias("delta"), F.slice("w", F.greatest(p["delta"], F.lit(0)) + 1, p["length"] - F.greatest(F.lit(0), -p["delta"])).alias("here")))).alias("a")).select(*row, "a.*")
-    both = aligned.join(small(segments.select("seg", "k", "part")), "seg").withColumn("first", first)
-    hits = F.filter(F.sequence("first", F.col("first") + F.size("here") - F.col("k")), lambda s: F.slice("here", s - F.col("first") + 1, F.col("k")) == F.slice("part", s + 1, F.col("k")))
-    found = written(both.select(*row, "seg", "delta", "k", hits.alias("hits")).where("size(hits) > 0"), "hits")
+    with scratch() as keep:
+        words = written(docs.select("doc_id", *row, _hashes(F.col("text")).alias("h")), "words")
+        segments, members, parts = _segments(_items(benchmark), words)
+        met = _meeting(words, segments.select("pair", "alone", "seg", "off", "k", F.size("part").alias("length")), *row).withColumn("delta", F.col("pos") - F.col("off"))
+        inside = F.least(F.col("n"), F.col("delta") + F.col("length")) - F.greatest(F.lit(0), F.col("delta")) >= F.col("k")
+        places = met.where(inside).groupBy(*row).agg(F.collect_set(F.struct("seg", "delta", "length")).alias("places"))
+        places = written(places, "places")
+        held = docs.join(small(places.select(*row)), row, "left_semi").select(*row, words_of(lower_ascii(F.col("text"))).alias("w")).join(places, row)
+        first = F.greatest(F.lit(0), -F.col("delta"))
+        aligned = held.select(*row, F.explode(F.transform("places", lambda p: F.struct(p["seg"].alias("seg"), p["delta"].alias("delta"), F.slice("w", F.greatest(p["delta"], F.lit(0)) + 1, p["length"] - F.greatest(F.lit(0), -p["delta"])).alias("here")))).alias("a")).select(*row, "a.*")
+        both = aligned.join(small(segments.select("seg", "k", "part")), "seg").withColumn("first", first)
+        hits = F.filter(F.sequence("first", F.col("first") + F.size("here") - F.col("k")), lambda s: F.slice("here", s - F.col("first") + 1, F.col("k")) == F.slice("part", s + 1, F.col("k")))
+        found = written(both.select(*row, "seg", "delta", "k", hits.alias("hits")).where("size(hits) > 0"), "hits")
+        keep(words, found, *parts)
     at = found.select(*row, F.explode(F.flatten(F.transform("hits", lambda s: F.sequence(F.col("delta") + s, F.col("delta") + s + F.col("k") - 1)))).alias("at"))
     n_hit = at.distinct().groupBy(*row).agg(F.count(F.lit(1)).alias("n_hit"))
     listed = found.select(*row, "seg").distinct().join(members, "seg").groupBy(*row).agg(F.array_sort(F.collect_set("item_id")).alias("items"))

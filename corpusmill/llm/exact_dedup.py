@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.kernels import arrow_map, released
-from corpusmill.shared import heavy_join, small_batches, written
+from corpusmill.shared import dropped, heavy_join, small_batches, written
 
 U = np.uint64
 #: Fingerprints of a filter built at a time, in one partition.
@@ -172,6 +172,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     again = written(repeated(prints, prints.count(), partitions), "repeated")
     twice = spark.sparkContext.broadcast(bitmap(again, "fp", again.count()))
+    dropped(again)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("norm", pa.string())])
 
     def candidates(batch: pa.RecordBatch) -> dict | None:

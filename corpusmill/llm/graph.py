@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.shared import written
+from corpusmill.shared import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,12 +29,15 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for each node with an edge (u, v), long both.
+    """node, component (its smallest node) for each node with an edge (u, v), long both, as a written table.
 
-    Each round is written to the shared folder. The number of rounds grows with
-    the logarithm of the longest path.
+    Each round is written to the shared folder, and removed when the next one is
+    there. The number of rounds grows with the logarithm of the longest path.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     while not _settled(now):
-        now = written(_small_star(_large_star(now)), "stars")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before, now = now, written(_small_star(_large_star(now)), "stars")
+        dropped(before)
+    out = written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    dropped(now)
+    return out

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.graph import components
 from corpusmill.llm.kernels import arrow_map, byte_values, mix, released, space_table, text_bytes, window_hashes, word_hashes, words
-from corpusmill.shared import give_back, heavy_join, small_batches, written
+from corpusmill.shared import give_back, heavy_join, scratch, small_batches, written
 
 U = np.uint64
 SHINGLE = 5
@@ -402,35 +402,38 @@ def near_duplicates(docs: DataFrame, node_bits: int = 64) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    drawn = written(sketches(docs, node_bits), "sketches")
-    shared = drawn.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node")
-    shared = None if shared.isEmpty() else written(shared, "shared")
-    drawn = told_apart(drawn, shared)
-    nodes = written(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature")), "nodes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    trees = _forest(nodes).repartitionByRange(n, "head", "rest", "node").sortWithinPartitions("head", "rest", "node")
-    met = written(neighbours(trees), "neighbours")
-    # 2 * EDGE rows for each partition, however many nodes there are.
-    border = [(r["part"], r["border"], r["b"], r["a"]) for r in met.where("border IS NOT NULL").collect()]
-    across, edge = border_pairs(border)
-    pair_rows = spark.createDataFrame(pa.table({"a": pa.array([x for x, _ in sorted(across)], pa.int64()), "b": pa.array([x for _, x in sorted(across)], pa.int64())}))
-    edge_rows = spark.createDataFrame(pa.table({"node": pa.array(sorted(edge), pa.int64())}))
-    pairs = written(met.where("border IS NULL AND b IS NOT NULL").select("a", "b").unionByName(pair_rows).distinct(), "pairs")
-    crowded = written(met.where("border IS NULL AND b IS NULL").select(F.col("a").alias("node")).unionByName(edge_rows).distinct(), "crowded")
-    give_back(spark)
-    sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), node_bits, shared), "sets")
-    first = written(components(_along(sets, "place").unionByName(_along(sets, "place2"))), "components")
-    give_back(spark)
-    left = pairs.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    apart = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    if not crowded.isEmpty():
-        own = sets.join(crowded, "node", "left_semi").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "items")
-        apart = apart.unionByName(_across(written(own, "crowded_sets"))).distinct()
-    last = written(components(_stars(first).unionByName(_confirmed(apart, sets))), "components")
-    give_back(spark)
-    placed = nodes.select("node", "least", "size").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = written(placed.join(least, "component").select("node", "size", "component_id"), "classes")
+    with scratch() as keep:
+        drawn = written(sketches(docs, node_bits), "sketches")
+        shared = drawn.where("node IS NOT NULL").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node")
+        shared = None if shared.isEmpty() else written(shared, "shared")
+        keep(drawn, shared)
+        drawn = told_apart(drawn, shared)
+        nodes = written(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("signature").alias("signature")), "nodes")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        trees = _forest(nodes).repartitionByRange(n, "head", "rest", "node").sortWithinPartitions("head", "rest", "node")
+        met = written(neighbours(trees), "neighbours")
+        # 2 * EDGE rows for each partition, however many nodes there are.
+        border = [(r["part"], r["border"], r["b"], r["a"]) for r in met.where("border IS NOT NULL").collect()]
+        across, edge = border_pairs(border)
+        pair_rows = spark.createDataFrame(pa.table({"a": pa.array([x for x, _ in sorted(across)], pa.int64()), "b": pa.array([x for _, x in sorted(across)], pa.int64())}))
+        edge_rows = spark.createDataFrame(pa.table({"node": pa.array(sorted(edge), pa.int64())}))
+        pairs = written(met.where("border IS NULL AND b IS NOT NULL").select("a", "b").unionByName(pair_rows).distinct(), "pairs")
+        crowded = written(met.where("border IS NULL AND b IS NULL").select(F.col("a").alias("node")).unionByName(edge_rows).distinct(), "crowded")
+        give_back(spark)
+        sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")), node_bits, shared), "sets")
+        first = components(_along(sets, "place").unionByName(_along(sets, "place2")))
+        give_back(spark)
+        left = pairs.join(first.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        apart = left.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        if not crowded.isEmpty():
+            own = sets.join(crowded, "node", "left_semi").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "items")
+            apart = apart.unionByName(_across(written(own, "crowded_sets"))).distinct()
+        last = components(_stars(first).unionByName(_confirmed(apart, sets)))
+        give_back(spark)
+        placed = nodes.select("node", "least", "size").join(last, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("many"))
+        classes = written(heavy_join(placed, least, ["component"], "many").select("node", "size", "component_id"), "classes")
+        keep(classes)
     known = heavy_join(drawn.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "row_key", "n_shingles", "node"), classes, ["node"], "size")
     alone = drawn.where("node IS NULL OR doc_id IS NULL").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"))
     every = known.select("doc_id", "row_key", "n_shingles", "component_id").unionByName(alone)

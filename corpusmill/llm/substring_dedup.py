@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.bitmap import among, bitmap
 from corpusmill.llm.kernels import arrow_map, byte_values, chunks, mix, released, space_table, text_bytes, window_hashes, word_hashes, words
-from corpusmill.shared import small_batches, written
+from corpusmill.shared import dropped, small_batches, written
 
 U = np.uint64
 WINDOW = 35
@@ -294,11 +294,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     bits = min(BLOCK_BITS, max(6, int(np.ceil(np.log2(blocks)))))
     names = written(repeated_names(docs, bits), "names")
     known = bitmap(names, "name", names.count())
+    dropped(names)
     sent = written(_sent(docs, known, bits), "windows")
     verdicts = sent.where("block >= 0").select("block", "src", "h1", "h2", "twice").groupBy("block").applyInArrow(_verdicts, "src long, block long, n long, bits binary")
     places = sent.where("block < 0").select("src", "keys", "counts", "pos", "index")
     spans = places.groupBy("src").cogroup(verdicts.groupBy("src")).applyInArrow(_spans, "own long, key long, begins binary, ends binary")
     spans = written(spans.dropDuplicates(["own", "key"]), "spans")
+    dropped(sent)
     touched = spark.sparkContext.broadcast(bitmap(spans, "key", spans.count()))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
     kind = "doc_id long, n_words long, n_removed long, text string"

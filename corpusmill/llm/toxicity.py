@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.llm.kernels import arrow_map, byte_values, cache, chunks, kept, released, text_bytes, word_hashes, words
-from corpusmill.shared import give_back, small_batches, written
+from corpusmill.shared import dropped, give_back, small_batches, written
 
 U = np.uint64
 BITS = 16
@@ -255,12 +255,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return {"doc_id": batch.column(0), "toxic": batch.column(1), "draw": batch.column(2), "n_words": np.diff(rows), "ids": [ids[i:j].tobytes() for i, j in zip(rows[:-1], rows[1:], strict=True)]}
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(taken), "doc_id").select("doc_id", "toxic", "draw", "text")
-    table = written(rows.mapInArrow(arrow_map(hashed, schema), "doc_id long, toxic int, draw long, n_words long, ids binary"), "labelled")
+    whole = table = written(rows.mapInArrow(arrow_map(hashed, schema), "doc_id long, toxic int, draw long, n_words long, ids binary"), "labelled")
     sizes = table.select("draw", "doc_id", "n_words").orderBy("draw", "doc_id").limit(4 * MAX_ROWS).toArrow()
     fits = int(np.searchsorted(np.cumsum(sizes["n_words"].to_numpy()), MAX_WORDS, "right"))
     if 0 < fits < len(sizes):
         table = table.where(F.col("draw") <= sizes["draw"][fits - 1].as_py())
     got = table.orderBy("draw", "doc_id", "n_words").limit(4 * MAX_ROWS).toArrow()
+    dropped(whole)
     model = fit([np.frombuffer(x, U) for x in got["ids"].to_pylist()], got["toxic"].to_numpy().astype(np.int64))
     del got
     give_back(spark)

@@ -371,3 +371,46 @@ def test_a_deep_page_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 300e6
+
+
+def test_content_nodes_equal_sums_by_path():
+    rng = random.Random(23)
+    tags = ["div", "p", "span", "a", "li", "section", "b"]
+
+    def build(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 4)):
+            if depth and rng.random() < 0.7:
+                tag = rng.choice(tags)
+                out += f"<{tag}>{build(depth - 1)}</{tag}>"
+            else:
+                out += " ".join(rng.choice(["word", "two.", "a, b", "x!"]) for _ in range(rng.randrange(1, 9)))
+        return out
+
+    for _ in range(200):
+        page = G.Page(build(5))
+
+        def path(e, page=page):
+            return (*path(page.elements[e].parent), page.elements[e].tag) if e > 0 else ()
+
+        texts = page.texts
+        per = collections.defaultdict(lambda: [0, 0, set()])
+        for e, _, t in texts:
+            own = per[path(e)]
+            own[2].add(e)
+            if "a" not in path(e):
+                own[0] += len(t.strip())
+                own[1] += len(re.findall(r"[.,;:!?]", t))
+        ratio = [[per[path(e)][k] / len(per[path(e)][2]) for e, _, _ in texts] for k in (0, 1)]
+
+        def smooth(values):
+            out = []
+            for i in range(len(values)):
+                near = [(values[j], np.exp(-((i - j) ** 2) / 2)) for j in range(max(0, i - G.RADIUS), min(len(values), i + G.RADIUS + 1))]
+                out.append(sum(v * w for v, w in near) / sum(w for _, w in near))
+            return np.array(out)
+
+        fused = smooth(ratio[0]) * (1 + smooth(ratio[1]))
+        want = (fused >= G.SHARE * fused.mean()) & (fused > 0)
+        close = np.abs(fused - G.SHARE * fused.mean()) < 1e-9
+        assert ((G.content_nodes(page, texts) == want) | close).all()
